@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm import mixing, packing, spotsigs, tokens, toxicity
+from zephyrlake.llm import licenses, mixing, packing, pii, spotsigs, tokens, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base spans by kind, their digest, and all spans of every document."""
+    rows = pii.personal_data(read(spark, sf_dir, "documents"))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    every = F.array_sort(F.concat("base", "found"))
+    return rows.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(every).alias("spans"), F.size("found").cast("long").alias("n_found"))
+
+
+def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    return topk.top_products(read(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     docs = read(spark, sf_dir, "documents")
@@ -43,6 +56,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, number of licence passages, the best one's licence and Dice, and all licences found, of every document."""
+    rows = licenses.license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_max(F.transform("licenses", lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"))))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",")
+    rows = rows.select("doc_id", F.size("licenses").cast("long").alias("n_passages"), best.alias("best"), names.alias("license_names"))
+    return rows.select("doc_id", "n_passages", F.col("best.license").alias("best_license"), F.col("best.dice").alias("best_dice"), "license_names")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
     return packing.packed(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_token_counts, op5_source_mix, op6_fingerprints, op7_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op5_source_mix, op6_fingerprints, op7_toxicity, op9_license_scan, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -112,15 +112,16 @@ def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame],
     serves = at_end | F.col("doc_id").isNull() if has_null else at_end
     homes = F.when(serves, F.array(F.struct(F.col("__part").alias("p"), F.lit(0).alias("late")), F.struct(to.alias("p"), F.lit(1).alias("late")))).otherwise(F.array(F.struct(F.col("__part").alias("p"), F.lit(0).alias("late"))))
     rows = rows.withColumn("__home", F.explode(homes)).withColumn("__tie", F.xxhash64(*columns))
-    order = Window.partitionBy("__home.p").orderBy("__home.late", F.col("doc_id").desc_nulls_last(), "__tie")
+    # Plain columns: windows over a nested one would each deal the rows anew.
+    rows = rows.select("*", F.col("__home.p").alias("__p"), F.col("__home.late").alias("__late")).drop("__g", "__part", "__home")
+    order = Window.partitionBy("__p").orderBy("__late", F.col("doc_id").desc_nulls_last(), "__tie")
     for c in columns:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
     if derive is not None:
         rows = derive(rows)
         for c in derived:
             rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
-    rows = rows.where("__home.late = 0")
-    return rows.drop("__g", "__part", "__home", "__tie")
+    return rows.where("__late = 0").drop("__p", "__late", "__tie")
 
 
 def edited_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
