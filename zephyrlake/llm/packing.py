@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +31,16 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
     piece (from 0), start, length, ids_crc32 of the piece's little-endian unsigned 32-bit ids.
     """
 
-    def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         vocab, library = vocabulary(path), Tokenizer.from_file(vocabulary_path(path))
         cache = Cache(lambda words: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(words, add_special_tokens=False)])
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            ids = iter(batch["doc_id"].tolist())
-            for run in chunks(batch["__text"].tolist()):
+            out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            ids = iter(batch.column("doc_id").to_pylist())
+            for run in chunks(batch.column("__text").to_pylist()):
                 parts = [vocab.ordered(t) for t in run]
                 known = cache.values(set().union(*parts))
                 for words in parts:
@@ -49,13 +49,13 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
                     total = len(data) // 4
                     at, size = 0, (total - 1) % capacity + 1
                     for piece in range(-(-total // capacity)):
-                        rows.append((doc_id, piece, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])))
+                        for name, x in zip(out, (doc_id, piece, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])), strict=True):
+                            out[name].append(x)
                         at, size = at + size, capacity
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64", "piece": "int32"})
+            yield pa.RecordBatch.from_pydict(out, pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in out]))
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("__text"))
-    return rows.mapInPandas(cut_texts, PIECES)
+    return rows.mapInArrow(cut_texts, PIECES)
 
 
 def fillings(counts: dict[int, int], gap: int, most: int) -> list[tuple[int, ...]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm import licenses, mixing, packing, pii, spotsigs, tokens, topk, toxicity
+from zephyrlake.llm import licenses, lines, mixing, packing, pii, spotsigs, tokens, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(read(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, number of lines, of repeated ones and their places, of every document."""
+    rows = lines.repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_repeated", F.array_join(F.col("drop").cast("array<string>"), ",").alias("repeated"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     docs = read(spark, sf_dir, "documents")
@@ -72,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op5_source_mix, op6_fingerprints, op7_toxicity, op9_license_scan, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op4_line_dedup, op5_source_mix, op6_fingerprints, op7_toxicity, op9_license_scan, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

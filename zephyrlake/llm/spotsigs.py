@@ -20,7 +20,7 @@ ANCHORS = (
     "al como con cuando del donde el ella entre era esta este ha hay las lo los más me mi muy no para pero por se ser si sin sobre su sus también te una y ya"
 )
 CHAIN = 2
-#: With fewer signatures than this, a text is told by its content words as well.
+#: With fewer signatures than this, a text is told by its runs of four characters as well.
 FEW = 4
 MARK = "\u0001"
 
@@ -47,8 +47,8 @@ def trie(words: list[str]) -> str:
 def with_signatures(rows: DataFrame, columns: dict[str, str], chain: int = CHAIN) -> DataFrame:
     """Adds for each (name, text column) the sorted, distinct 32-bit signatures of the whole text (null: empty).
 
-    A text with fewer than FEW signatures, such as one without common words, is told by its single content
-    words as well. The steps are columns of their own, so that none is worked out twice.
+    A text with fewer than FEW signatures, such as one without common words, is told by its runs of four
+    characters as well. The steps are columns of their own, so that none is worked out twice.
     """
     step = rf"(?: {MARK}[^ ]++)*+ [^ {MARK}]++"
     spot = rf" (?=({MARK}[^ ]++(?:{step}){{{chain}}})(?: |$)){MARK}"
@@ -58,9 +58,11 @@ def with_signatures(rows: DataFrame, columns: dict[str, str], chain: int = CHAIN
         marked = F.regexp_replace(plain, rf" (?={trie(ANCHORS.split())}(?: |$))", f" {MARK}")
         marked = F.regexp_replace(marked, rf"( {MARK}[^ ]++)(?:\1(?= |$))++", "$1")
         rows = rows.withColumn("__marked", marked).withColumn("__spots", F.regexp_extract_all("__marked", F.lit(spot), F.lit(1)))
-        content = F.filter(F.split(F.trim(F.regexp_replace("__marked", rf" {MARK}[^ ]++", "")), " "), lambda w: w != "")
         hashes = F.transform("__spots", lambda s: F.hash(F.regexp_replace(s, rf" {MARK}[^ ]++", "")))
-        rows = rows.withColumn("__more", F.when(F.size("__spots") < FEW, F.transform(content, lambda w: F.hash(w))).otherwise(F.array().cast("array<int>")))
+        low = F.lower(F.col(text))
+        grams = F.concat(F.regexp_extract_all(low, F.lit(r"(?s)(?=(.{4}))."), F.lit(1)), F.when(F.length(low).between(1, 3), F.array(low)).otherwise(F.array().cast("array<string>")))
+        few = F.size("__spots") < FEW
+        rows = rows.withColumn("__more", F.when(few & low.isNotNull(), F.transform(grams, lambda w: F.hash(w))).otherwise(F.array().cast("array<int>")))
         rows = rows.withColumn(name, F.array_sort(F.array_distinct(F.concat(hashes, "__more")))).drop("__marked", "__spots", "__more")
     return rows
 

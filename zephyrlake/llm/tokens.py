@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,17 +61,17 @@ def token_counts(docs: DataFrame, text: str = "text", limit: int = 512, path: st
     keep = [c for c in docs.columns if c != text and c not in made]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes bigint", "n_tokens bigint"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         cache = Cache(lambda words: merged_lengths([w.encode("utf-8") for w in words], vocab).tolist())
         for batch in batches:
             n_bytes, n_tokens = [], []
-            for run in chunks(batch["__text"].tolist()):
+            for run in chunks(batch.column("__text").to_pylist()):
                 parts = [vocab.parts(t) for t in run]
                 known = cache.values(set().union(*(p for p, _ in parts)))
                 n_bytes += [len(t.encode("utf-8")) for t in run]
                 n_tokens += [sum(map(known.__getitem__, words)) + len(special) for words, special in parts]
-            yield batch[keep].assign(n_bytes=np.array(n_bytes, np.int64), n_tokens=np.array(n_tokens, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], [*keep, "n_bytes", "n_tokens"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    return rows.mapInPandas(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,11 +169,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
     features, weights, bias = model.features, model.weights, model.bias
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features(model.settings, features)
         for batch in batches:
-            z = np.array([weights[made.of_text(t)].sum() for t in batch["__text"]], float) + bias
-            yield batch[keep].assign(score=1 / (1 + np.exp(-np.clip(z, -35, 35))))
+            z = np.array([weights[made.of_text(t)].sum() for t in batch.column("__text").to_pylist()], float) + bias
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*keep, "score"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    return rows.mapInPandas(score, schema).withColumn("predicted", (F.col("score") >= model.settings.threshold).cast("int"))
+    return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= model.settings.threshold).cast("int"))
