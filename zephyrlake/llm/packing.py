@@ -7,6 +7,7 @@ back to the pieces by their number within their length. Neither the plan nor the
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +35,14 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         vocab, library = vocabulary(path), Tokenizer.from_file(vocabulary_path(path))
-        cache = Cache(lambda words: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(words, add_special_tokens=False)])
+
+        def encoded(words: list[str]) -> list[bytes]:
+            # A few at a time: the library's encodings are far larger than the ids.
+            return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 1000) for e in library.encode_batch(words[i : i + 1000], add_special_tokens=False)]
+
+        cache = Cache(encoded)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
