@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm import licenses, lines, mixing, packing, pii, spotsigs, tokens, topk, toxicity
+from zephyrlake.llm import jaccard, licenses, lines, mixing, packing, pii, spotsigs, tokens, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and n_links of every document."""
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("__h")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, number of licence passages, the best one's licence and Dice, and all licences found, of every document."""
     rows = licenses.license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,9 +81,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op4_line_dedup, op5_source_mix, op6_fingerprints, op7_toxicity, op9_license_scan, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op4_line_dedup, op5_source_mix, op6_fingerprints, op7_toxicity, op8_near_duplicates, op9_license_scan, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
