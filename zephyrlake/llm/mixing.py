@@ -92,8 +92,9 @@ def mixed(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...
 
 def repeated(mix: DataFrame) -> DataFrame:
     """The mixed corpus itself: every document as often as it was taken; one taken in part gives its first words."""
-    size, taken = F.col("size"), F.col("taken")
-    whole, part = F.floor(taken / F.when(size > 0, size)), taken % F.when(size > 0, size)
-    first = F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), part.cast("string"), F.lit("}+")), 0)
-    copies = F.concat(F.array_repeat(F.col("text"), F.coalesce(whole, F.lit(0)).cast("int")), F.when(part > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
-    return mix.withColumn("text", F.explode(copies)).drop("size", "source_size", "target", "taken")
+    size = F.when(F.col("size") > 0, F.col("size"))
+    rows = mix.withColumn("__whole", F.coalesce(F.floor(F.col("taken") / size), F.lit(0)).cast("int"))
+    rows = rows.withColumn("__pattern", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), (F.col("taken") % size).cast("string"), F.lit("}+")))
+    part = F.expr("CASE WHEN taken % nullif(size, 0) > 0 THEN array(regexp_extract(text, __pattern, 0)) ELSE array() END")
+    rows = rows.withColumn("__copies", F.concat(F.array_repeat(F.col("text"), F.col("__whole")), part))
+    return rows.withColumn("text", F.explode("__copies")).drop("size", "source_size", "target", "taken", "__whole", "__pattern", "__copies")
