@@ -11,6 +11,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,21 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 SALTS = 128
 
 
+@lru_cache(maxsize=4)
+def encodings(path: str | None) -> Cache:
+    """The worker's ids of pre-tokens as bytes, which outlive a task."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+    library = Tokenizer.from_file(vocabulary_path(path))
+
+    def encoded(words: list[str]) -> list[bytes]:
+        # A few at a time: the library's encodings are far larger than the ids.
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 1000) for e in library.encode_batch(words[i : i + 1000], add_special_tokens=False)]
+
+    return Cache(encoded)
+
+
 def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Token ids of each whole text (null: empty) and ``end_id``, cut into pieces of at most ``capacity`` tokens.
 
@@ -33,16 +49,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
     """
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        vocab, library = vocabulary(path), Tokenizer.from_file(vocabulary_path(path))
-
-        def encoded(words: list[str]) -> list[bytes]:
-            # A few at a time: the library's encodings are far larger than the ids.
-            return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 1000) for e in library.encode_batch(words[i : i + 1000], add_special_tokens=False)]
-
-        cache = Cache(encoded)
+        vocab, cache = vocabulary(path), encodings(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}

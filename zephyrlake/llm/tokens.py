@@ -8,6 +8,7 @@ of its lowest-ranked pair merge at once; what is left when no pair has a rank ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,13 @@ def merged_lengths(words: list[bytes], vocab: Vocabulary) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=4)
+def lengths(path: str | None) -> Cache:
+    """The worker's token counts of pre-tokens, which outlive a task."""
+    vocab = vocabulary(path)
+    return Cache(lambda words: merged_lengths([w.encode("utf-8") for w in words], vocab).tolist())
+
+
 def token_counts(docs: DataFrame, text: str = "text", limit: int = 512, path: str | None = None) -> DataFrame:
     """Adds n_bytes, n_tokens (long) and over_limit (n_tokens > ``limit``) to every row; the text itself goes.
 
@@ -62,8 +70,7 @@ def token_counts(docs: DataFrame, text: str = "text", limit: int = 512, path: st
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes bigint", "n_tokens bigint"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        cache = Cache(lambda words: merged_lengths([w.encode("utf-8") for w in words], vocab).tolist())
+        vocab, cache = vocabulary(path), lengths(path)
         for batch in batches:
             n_bytes, n_tokens = [], []
             for run in chunks(batch.column("__text").to_pylist()):

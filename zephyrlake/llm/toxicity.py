@@ -8,9 +8,9 @@ chi-square, each scaled by its ratio, go to a logistic regression with a ridge p
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zephyrlake.llm.pretokens import chunks
+from zephyrlake.llm.storage import cut
+
 BITS = 18
 NOTHING = np.zeros(0, np.int32)
-WORD = re.compile(r"[^\W\d_]+")
-#: Longer words are cut into parts of this many characters, which bounds the features of one word.
-WORD_CHARS = 48
+#: Longer words are cut into parts of 48 characters, which bounds the features of one word.
+WORD = re.compile(r"[^\W\d_]{1,48}")
+ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A worker's word cache is emptied at this size; results do not depend on it.
 CACHE_WORDS = 600_000
 
@@ -60,28 +63,57 @@ class Features:
             self.place = np.full(1 << BITS, -1, np.int32)
             self.place[keep] = np.arange(len(keep), dtype=np.int32)
 
-    def of_word(self, word: str) -> np.ndarray:
-        marked = f" {word} "
-        grams = {marked[i : i + n] for n in range(self.s.n_min, self.s.n_max + 1) for i in range(len(marked) - n + 1)}
-        ids = np.unique(np.fromiter((zlib.crc32(g.encode()) & ((1 << BITS) - 1) for g in grams), np.int32, len(grams)))
+    def learn(self, words: list[str]) -> None:
+        """Caches the features of new words, all at once: n-grams are hashed along the words set in single spaces."""
+        if not words:
+            return
+        text = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32)
+        spaces = np.flatnonzero(text == 32)
+        at = np.arange(len(text))
+        word = np.searchsorted(spaces, at, side="right") - 1  # a space opens the word after it
+        end = np.append(spaces[1:], len(text))[word] + 1
+        hashed, ids, owners = np.zeros(len(text), np.uint64), [], []
+        with np.errstate(over="ignore"):
+            for n in range(1, self.s.n_max + 1):
+                ahead = text[n - 1 :].astype(np.uint64)
+                hashed = (hashed[: len(ahead)] + ahead) * ODD
+                hashed ^= hashed >> np.uint64(31)
+                if n >= self.s.n_min:
+                    fits = np.flatnonzero(at[: len(hashed)] + n <= end[: len(hashed)])
+                    ids.append((hashed[fits] * ODD >> np.uint64(64 - BITS)).astype(np.int32))
+                    owners.append(word[fits])
+        ids, owners = np.concatenate(ids), np.concatenate(owners)
         if self.place is not None:
             ids = self.place[ids]
-            ids = ids[ids >= 0] if (ids >= 0).any() else NOTHING
-        return ids
-
-    def of_text(self, text: str) -> np.ndarray:
-        """Distinct features of a whole text, ascending."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        cache, found = self.cache, []
-        for word in set(WORD.findall(text.lower())):
-            ids = cache.get(word)
-            if ids is None:
-                parts = [word[i : i + WORD_CHARS] for i in range(0, len(word), WORD_CHARS)]
-                ids = cache[word] = self.of_word(word) if len(parts) == 1 else np.unique(np.concatenate([self.of_word(p) for p in parts]))
-            if len(ids):
-                found.append(ids)
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+            owners, ids = owners[ids >= 0], ids[ids >= 0]
+        self.cache.update(dict.fromkeys(words, NOTHING))
+        order = np.argsort(owners, kind="stable")
+        owners, ids = owners[order], ids[order]
+        starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else owners
+        for i, j in zip(starts, np.append(starts[1:], len(owners)), strict=True):
+            self.cache[words[owners[i]]] = np.unique(ids[i:j])
+
+    def of_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Distinct features of each whole text, ascending."""
+        for run in chunks(texts):
+            words = [set(WORD.findall(t.lower())) for t in run]
+            if len(self.cache) > CACHE_WORDS:
+                self.cache = {}
+            cache = self.cache
+            self.learn(list(set().union(*words).difference(cache)))
+            for own in words:
+                found = [ids for w in own if (ids := cache[w]) is not NOTHING]
+                yield np.unique(np.concatenate(found)) if found else NOTHING
+
+
+@lru_cache(maxsize=2)
+def _kept(settings: Settings, keep: bytes | None) -> Features:
+    return Features(settings, None if keep is None else np.frombuffer(keep, np.int64))
+
+
+def features_for(settings: Settings, keep: np.ndarray | None = None) -> Features:
+    """The worker's features, whose cache outlives a task."""
+    return _kept(settings, None if keep is None else keep.tobytes())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,17 +135,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     rows = training_rows(docs, labels, settings)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = Features(settings)
+        made = features_for(settings)
         tally = np.zeros((2, 1 << BITS), np.int64)
         size = [0, 0]
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                tally[toxic, made.of_text(text)] += 1
+            for ids, toxic in zip(made.of_texts(batch["text"].tolist()), batch["toxic"], strict=True):
+                tally[toxic, ids] += 1
                 size[toxic] += 1
         seen = np.flatnonzero(tally.sum(axis=0))
         yield pd.DataFrame({"feature": np.append(seen, -1), "n0": np.append(tally[0, seen], size[0]), "n1": np.append(tally[1, seen], size[1])})
 
-    counts = rows.mapInPandas(counted, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = cut(rows.mapInPandas(counted, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     sizes = counts.where("feature = -1").first()
     n0, n1 = (sizes["n0"], sizes["n1"]) if sizes else (0, 0)
     if not n0 or not n1:
@@ -129,9 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     ratio = np.log(p / (n1 + 2 * settings.smoothing)) - np.log(q / (n0 + 2 * settings.smoothing))
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = Features(settings, features)
+        made = features_for(settings, features)
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "at": [made.of_text(t).astype("<i2").tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "at": [x.astype("<i2").tobytes() for x in made.of_texts(batch["text"].tolist())]})
 
     # At most max_labels rows of a few bytes for each of at most max_features features.
     data = rows.mapInPandas(encoded, "toxic int, at binary").toPandas().sort_values(["toxic", "at"])
@@ -170,9 +202,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     features, weights, bias = model.features, model.weights, model.bias
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Features(model.settings, features)
+        made = features_for(model.settings, features)
         for batch in batches:
-            z = np.array([weights[made.of_text(t)].sum() for t in batch.column("__text").to_pylist()], float) + bias
+            z = np.array([weights[x].sum() for x in made.of_texts(batch.column("__text").to_pylist())], float) + bias
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*keep, "score"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
