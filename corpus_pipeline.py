@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from zephyrlake.llm import jaccard, lines, mixing, packing, toxicity
 from zephyrlake.llm.storage import checkpoint_dir
@@ -27,10 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; columns are those of documents."""
-    mix = mixing.repeated(mixing.mixed(docs))
-    if "n_chars" in docs.columns:
-        mix = mix.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mix.select(docs.columns)
+    return mixing.mixed_corpus(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

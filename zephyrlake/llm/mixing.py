@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zephyrlake.llm.storage import cut
+
 #: Key ranges of each source: the rows that one window holds are a source's rows divided by this.
 RANGES = 4096
 WEIGHTS = (5, 2, 1)
@@ -60,20 +62,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def mixed(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 17, budget: float | None = None) -> DataFrame:
-    """The mix of documents (doc_id, text, source): all rows with size, source_size, target and taken.
+    """The mix of documents (doc_id, text, source): doc_id, source, __h (a hash of the text), size, source_size, target, taken of every row.
 
     taken: words that the mix takes of the document, repeats counted: its size for every complete epoch of
     its source, and once more if it is drawn for the rest; the last document drawn gives only the words still
     needed, so that a source's taken words are its target rounded down. weight: a positive quality weight
     per row (None: the share of letters). Documents without words take nothing; a null source is a source
-    of its own; documents of equal key are ordered by doc_id, then by a hash of the text. Repeated rows are
-    drawn each for itself. Other columns are kept, but for those named like a result.
+    of its own; documents of equal key are ordered by doc_id, then by the hash. Repeated rows are drawn each
+    for itself; an empty table gives no rows; other columns are left out.
     """
-    made = ("size", "source_size", "target", "taken")
-    rows = docs.drop(*made).withColumn("size", words(F.col("text")))
     w = F.coalesce(weight if weight is not None else letter_share(F.col("text")), F.lit(0.0))
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.greatest(w, F.lit(1e-9))
-    rows = rows.withColumn("__key", key).withColumn("__tie", F.xxhash64("text"))
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("__h"), words(F.col("text")).alias("size"), key.alias("__key"))
+    rows = cut(rows)  # texts are read once; these rows are a few numbers each
     # An increasing function of the key that spreads the rows of any source.
     rows = rows.withColumn("__range", F.floor((1 - F.exp(-F.col("__key"))) * RANGES)).withColumn("__null", F.col("source").isNull()).withColumn("__source", F.coalesce("source", F.lit("")))
     parts = rows.groupBy("__null", "__source", "__range").agg(F.sum("size").alias("__words"))
@@ -82,19 +83,27 @@ def mixed(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...
     before = Window.partitionBy("__null", "__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__base", F.coalesce(F.sum("__words").over(before), F.lit(0))).drop("__words")
     parts = parts.join(plan, ["__null", "__source"])
-    own = Window.partitionBy("__null", "__source", "__range").orderBy("__key", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("__null", "__source", "__range").orderBy("__key", "doc_id", "__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__upto", F.sum("size").over(own)).join(parts, ["__null", "__source", "__range"])
     words_left = F.floor(F.col("target")) - F.col("__epochs") * F.col("source_size") - (F.col("__base") + F.col("__upto") - F.col("size"))
     rows = rows.withColumn("__epochs", F.coalesce(F.floor(F.floor(F.col("target")) / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)))
     rows = rows.withColumn("taken", (F.col("__epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), words_left))).cast("long"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], *made)
+    return rows.select("doc_id", "source", "__h", "size", "source_size", "target", "taken")
+
 
+def mixed_corpus(docs: DataFrame, **settings) -> DataFrame:
+    """The mixed documents themselves, all columns kept: each as often as it was taken; one taken in part gives its first words.
 
-def repeated(mix: DataFrame) -> DataFrame:
-    """The mixed corpus itself: every document as often as it was taken; one taken in part gives its first words."""
-    size = F.when(F.col("size") > 0, F.col("size"))
-    rows = mix.withColumn("__whole", F.coalesce(F.floor(F.col("taken") / size), F.lit(0)).cast("int"))
-    rows = rows.withColumn("__pattern", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), (F.col("taken") % size).cast("string"), F.lit("}+")))
-    part = F.expr("CASE WHEN taken % nullif(size, 0) > 0 THEN array(regexp_extract(text, __pattern, 0)) ELSE array() END")
-    rows = rows.withColumn("__copies", F.concat(F.array_repeat(F.col("text"), F.col("__whole")), part))
-    return rows.withColumn("text", F.explode("__copies")).drop("size", "source_size", "target", "taken", "__whole", "__pattern", "__copies")
+    Rows of equal doc_id, source and text are taken together; n_chars, if there, follows the text.
+    """
+    mix = mixed(docs, **settings).where("taken > 0").groupBy("doc_id", "source", "__h").agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
+    m = mix.select(*[F.col(c).alias(f"__m{c}") for c in ("doc_id", "source", "__h")], "__size", "__taken")
+    rows = docs.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__h"])
+    same = F.col("doc_id").eqNullSafe(F.col("__mdoc_id")) & F.col("source").eqNullSafe(F.col("__msource")) & (F.col("__h") == F.col("__m__h"))
+    rows = rows.join(m, same).withColumn("__whole", F.floor(F.col("__taken") / F.col("__size")).cast("int"))
+    rows = rows.withColumn("__pattern", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), (F.col("__taken") % F.col("__size")).cast("string"), F.lit("}+")))
+    part = F.expr("CASE WHEN __taken % __size > 0 THEN array(regexp_extract(text, __pattern, 0)) ELSE array() END")
+    rows = rows.withColumn("__copies", F.concat(F.array_repeat(F.col("text"), F.col("__whole")), part)).withColumn("text", F.explode("__copies"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)

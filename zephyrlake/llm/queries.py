@@ -41,9 +41,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    docs = read(spark, sf_dir, "documents")
-    weighed = docs.select("doc_id", "source", "text")
-    return mixing.mixed(weighed).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
