@@ -1 +1 @@
-
+"""Column expressions: indices, geometry, meteorology and time."""

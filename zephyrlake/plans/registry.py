@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from zephyrlake.plans import queries_domain, queries_series, queries_table
+
 
 def queries() -> dict[str, Callable]:
     """Queries by name."""
-    return {}
+    return {**queries_table.QUERIES, **queries_series.QUERIES, **queries_domain.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    return {**queries_table.SQL, **queries_series.SQL, **queries_domain.SQL}
