@@ -87,9 +87,11 @@ class Features:
             ids = self.place[ids]
             owners, ids = owners[ids >= 0], ids[ids >= 0]
         self.cache.update(dict.fromkeys(words, NOTHING))
+        if not len(owners):
+            return
         order = np.argsort(owners, kind="stable")
         owners, ids = owners[order], ids[order]
-        starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else owners
+        starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
         for i, j in zip(starts, np.append(starts[1:], len(owners)), strict=True):
             self.cache[words[owners[i]]] = np.unique(ids[i:j])
 
