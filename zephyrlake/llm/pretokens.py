@@ -23,7 +23,7 @@ NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xff]")
 FAMILIAR = regex.compile("[^\\x00-\u0500\u1e00-\u206f\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: A worker's cache is emptied when it holds this many pre-tokens; results do not depend on it.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens are worked out anew each time, so that the cache stays small.
 CACHE_CHARS = 64
 

@@ -26,8 +26,8 @@ NOTHING = np.zeros(0, np.int32)
 #: Longer words are cut into parts of 48 characters, which bounds the features of one word.
 WORD = re.compile(r"[^\W\d_]{1,48}")
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: A worker's word cache is emptied at this size; results do not depend on it.
-CACHE_WORDS = 600_000
+#: A worker's word cache is emptied at this size (most words have none of the kept features, and cost little then); results do not depend on it.
+CACHE_WORDS = {True: 400_000, False: 60_000}
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ class Features:
         """Distinct features of each whole text, ascending."""
         for run in chunks(texts):
             words = [set(WORD.findall(t.lower())) for t in run]
-            if len(self.cache) > CACHE_WORDS:
+            if len(self.cache) > CACHE_WORDS[self.place is not None]:
                 self.cache = {}
             cache = self.cache
             self.learn(list(set().union(*words).difference(cache)))
@@ -108,7 +108,7 @@ class Features:
                 yield np.unique(np.concatenate(found)) if found else NOTHING
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _kept(settings: Settings, keep: bytes | None) -> Features:
     return Features(settings, None if keep is None else np.frombuffer(keep, np.int64))
 
