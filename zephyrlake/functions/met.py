@@ -28,7 +28,7 @@ def proxy_category(pbl: Column) -> Column:
 
 def proxy_strength(pbl: Column, hour: Column) -> Column:
     """Inversion strength, 0 to 1, by mixing height and hour; 0 where the height is missing."""
-    return F.coalesce(F.least(F.lit(1.0), clip((500.0 - pbl) / 500.0, 0, 1) * diurnal_factor(hour)), F.lit(0.0))
+    return F.coalesce(clip(clip((500.0 - pbl) / 500.0, 0, 1) * diurnal_factor(hour), 0, 1), F.lit(0.0))
 
 
 def lapse(base_p: float, base_t: Column, top_p: float, top_t: Column) -> Column:
