@@ -117,10 +117,10 @@ def pbl_class(spark, sf):
     return v.weather(spark, sf).select("station", "ts", met.mixing_category(p).alias("pbl_category"), met.dispersion_condition(p).alias("condition"), met.wind_category(F.col("wind_speed")).alias("wind_category"))
 
 
-@query(v.with_views("weather") + "SELECT station, ts, round(wind_speed * pbl_height, 1) AS coefficient, CASE WHEN wind_speed * pbl_height < 3000 THEN 'poor' WHEN wind_speed * pbl_height < 6000 THEN 'moderate' ELSE 'good' END AS category FROM weather")
+@query(v.with_views("weather") + "SELECT station, ts, wind_speed * pbl_height AS coefficient, CASE WHEN wind_speed * pbl_height < 3000 THEN 'poor' WHEN wind_speed * pbl_height < 6000 THEN 'moderate' ELSE 'good' END AS category FROM weather")
 def ventilation(spark, sf):
     c = F.col("wind_speed") * F.col("pbl_height")
-    return v.weather(spark, sf).select("station", "ts", F.round(c, 1).alias("coefficient"), met.ventilation_category(c).alias("category"))
+    return v.weather(spark, sf).select("station", "ts", c.alias("coefficient"), met.ventilation_category(c).alias("category"))
 
 
 WP = "wp AS (SELECT w.station, w.ts, wind_speed, wind_direction, pbl_height, temperature, humidity, pm25, no2, least(1.0, greatest(0.0, least(1.0, (500.0 - pbl_height) / 500.0)) * " + FACTOR + ") AS inv FROM weather w LEFT JOIN panel p ON p.station = w.station AND p.hour = w.ts)"
