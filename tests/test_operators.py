@@ -184,7 +184,7 @@ def test_streams(spark, tmp_path):
     df = frame(spark, rows, "station int, pollutant string, ts timestamp_ntz, v double")
     df.write.parquet(str(tmp_path / "in"))
     stream = streams.readings(spark, str(tmp_path / "in"), df.schema)
-    got = {r.hour.hour: (r.n, r.v) for r in streams.to_memory(streams.hourly(stream), "t_hourly").collect()}
+    got = {r.hour.hour: (r.n, r.v) for r in streams.finished(streams.hourly(stream)).collect()}
     assert got == {0: (2, 2.0), 5: (1, 9.0)}
     streams.upserts(stream, str(tmp_path / "state"), ["station", "pollutant"], str(tmp_path / "ck")).start().awaitTermination()
     assert [r.v for r in spark.read.parquet(str(tmp_path / "state" / "v=0")).collect()] == [9.0]

@@ -193,7 +193,7 @@ def stream_obs(spark, sf):
 def stream_hourly(spark, sf):
     from zephyrlake.streaming import streams
 
-    out = streams.to_memory(streams.hourly(stream_obs(spark, sf), "60 days"), "zephyr_stream_hourly")
+    out = streams.finished(streams.hourly(stream_obs(spark, sf), "60 days"))
     return r6(out.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "v")
 
 
@@ -202,12 +202,12 @@ def stream_dedupe(spark, sf):
     from zephyrlake.streaming import streams
 
     stream = stream_obs(spark, sf).where("v >= 100").select("station", "pollutant", "v")
-    return streams.to_memory(stream.dropDuplicates(), "zephyr_stream_dedupe", "append")
+    return streams.finished(stream.dropDuplicates(), "append")
 
 
 @query(v.with_views("obs", more="g AS (SELECT station, ts, v, CASE WHEN lag(ts) OVER (PARTITION BY station ORDER BY ts) > ts - INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM obs), r AS (SELECT *, sum(n) OVER (PARTITION BY station ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)") + "SELECT station, min(ts) AS start_ts, max(ts) + INTERVAL 1 HOUR AS end_ts, count(*) AS n, max(v) AS peak FROM r GROUP BY station, k")
 def stream_sessions(spark, sf):
     from zephyrlake.streaming import streams
 
-    out = streams.to_memory(streams.sessions(stream_obs(spark, sf), "1 hour", "60 days"), "zephyr_stream_sessions")
+    out = streams.finished(streams.sessions(stream_obs(spark, sf), "1 hour", "60 days"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
