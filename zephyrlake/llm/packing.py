@@ -69,11 +69,9 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
             out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
             ids = iter(batch.column("doc_id").to_pylist())
             for run in chunks(batch.column("__text").to_pylist()):
-                parts = [vocab.ordered(t) for t in run]
-                known = cache.values(set().union(*parts))
-                for words in parts:
+                for parts in cache.values([vocab.ordered(t) for t in run]):
                     doc_id = next(ids)
-                    data = b"".join(map(known.__getitem__, words)) + end
+                    data = b"".join(parts) + end
                     total = len(data) // 4
                     at, size = 0, (total - 1) % capacity + 1
                     for piece in range(-(-total // capacity)):

@@ -23,7 +23,7 @@ NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xff]")
 FAMILIAR = regex.compile("[^\\x00-\u0500\u1e00-\u206f\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: A worker's cache is emptied when it holds this many pre-tokens; results do not depend on it.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are worked out anew each time, so that the cache stays small.
 CACHE_CHARS = 64
 
@@ -107,28 +107,20 @@ class Cache:
     def __init__(self, make: Callable[[list[str]], list]):
         self.make, self.kept = make, {}
 
-    def values(self, words: Iterable[str]) -> dict:
-        """A mapping that holds a value of every given pre-token."""
+    def values(self, lists: list[list[str]]) -> list[list]:
+        """The values of every pre-token of every list; new ones are made together."""
         if len(self.kept) > CACHE_ENTRIES:
             self.kept = {}
-        kept = self.kept
-        new = [w for w in set(words) if w not in kept]
-        if not new:
-            return kept
-        made = dict(zip(new, self.make(new), strict=True))
-        kept.update((w, v) for w, v in made.items() if len(w) <= CACHE_CHARS)
-        return kept if all(len(w) <= CACHE_CHARS for w in new) else {**kept, **made} if len(kept) < 1000 else _Both(kept, made)
-
-
-class _Both(dict):
-    """The cache, with values of long pre-tokens beside it."""
-
-    def __init__(self, kept: dict, made: dict):
-        super().__init__((w, v) for w, v in made.items() if len(w) > CACHE_CHARS)
-        self.rest = kept
-
-    def __missing__(self, w: str):
-        return self.rest[w]
+        get = self.kept.get
+        out = [list(map(get, words)) for words in lists]
+        open_ = [i for i, found in enumerate(out) if None in found]
+        new = list({w for i in open_ for w, v in zip(lists[i], out[i], strict=True) if v is None})
+        if new:
+            made = dict(zip(new, self.make(new), strict=True))
+            for i in open_:
+                out[i] = [made[w] if v is None else v for w, v in zip(lists[i], out[i], strict=True)]
+            self.kept.update((w, v) for w, v in made.items() if len(w) <= CACHE_CHARS)
+        return out
 
 
 def chunks(texts: list[str], most: int = 2_000_000) -> Iterable[list[str]]:

@@ -75,9 +75,9 @@ def token_counts(docs: DataFrame, text: str = "text", limit: int = 512, path: st
             n_bytes, n_tokens = [], []
             for run in chunks(batch.column("__text").to_pylist()):
                 parts = [vocab.parts(t) for t in run]
-                known = cache.values(set().union(*(p for p, _ in parts)))
+                known = cache.values([words for words, _ in parts])
                 n_bytes += [len(t.encode("utf-8")) for t in run]
-                n_tokens += [sum(map(known.__getitem__, words)) + len(special) for words, special in parts]
+                n_tokens += [sum(counts) + len(special) for counts, (_, special) in zip(known, parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], [*keep, "n_bytes", "n_tokens"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
