@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zephyrlake.operators import clean, evaluate, network, series
+from zephyrlake.operators import evaluate, series
 from zephyrlake.plans import sqlparts as q
 from zephyrlake.plans import views as v
 from zephyrlake.plans.queries_table import r6
