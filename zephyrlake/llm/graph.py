@@ -37,12 +37,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
-def in_cells(rows: DataFrame, key: str, member: Column, size: int) -> DataFrame:
+def in_cells(rows: DataFrame, key: str, member: Column, size: int, weight: Column | None = None) -> DataFrame:
     """Adds part, cell: every two rows of a key meet in a cell of about twice ``size`` rows, and no cell grows with the key.
 
-    A group of n rows is cut into ceil(n / size) parts; each pair of parts is a cell, to which both parts go.
+    A group of n rows (or of that weight in all) is cut into ceil(n / size) parts; each pair of parts is a cell, to
+    which both parts go.
     """
-    counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    counts = rows.groupBy(key).agg(F.ceil(F.sum(F.lit(1) if weight is None else weight) / size).cast("int").alias("parts"))
     rows = rows.join(counts, key).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
     cells = F.when(F.col("parts") == 1, F.array(F.lit("0:0"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.concat_ws(":", F.least(F.col("part"), x).cast("string"), F.greatest(F.col("part"), x).cast("string"))))
     return rows.withColumn("cell", F.explode(cells)).drop("parts")
