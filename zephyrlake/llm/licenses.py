@@ -1,6 +1,7 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates, in DataFrame operations alone.
 
-A text's lines, sentences, paragraphs and itself are compared. Size bounds say which templates a passage can
+A text's lines, sentences, paragraphs, itself and runs of adjacent sentences across line and paragraph breaks are
+compared. Size bounds say which templates a passage can
 reach at all: with x bigrams against t, Dice is at most 2 min(x, t) / (x + t).
 """
 
@@ -67,11 +68,45 @@ def telling(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(chosen)
 
 
+def pairs_of(words: Column) -> Column:
+    """Distinct word bigrams of an array of words."""
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def with_runs(rows: DataFrame, hint: str, grams: list[str], most: int) -> DataFrame:
+    """Adds __runs: array<struct<i, j, passage, g>>, runs of two or more adjacent sentences (line ends end one as well) of __low.
+
+    A run holds a telling word, and its first and last sentence take part in a template's bigram: without them
+    the rest is more alike. Runs go up to 2 * most words and most distinct bigrams.
+    """
+    units = F.split("__low", r"\s*\R\s*|(?<=[.!?;])\s+")
+    units = F.transform(units, lambda x: F.struct(x.alias("t"), F.split(normal(x), " ").alias("w"), x.rlike(hint).cast("int").alias("hint")))
+    rows = rows.withColumn("__units", F.filter(units, lambda x: F.get(x["w"], F.lit(0)) != ""))
+    known = F.array(*[F.lit(x) for x in grams])
+    shares = lambda w: F.arrays_overlap(pairs_of(w), known)
+    after = lambda i: F.slice(F.get(F.col("__units"), i + 1)["w"], F.lit(1), F.lit(1))
+    before = lambda i: F.slice(F.get(F.col("__units"), i - 1)["w"], F.lit(-1), F.lit(1))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("__first", F.transform("__units", lambda x, i: shares(F.concat(x["w"], F.coalesce(after(i), none)))))
+    rows = rows.withColumn("__last", F.transform("__units", lambda x, i: shares(F.concat(F.coalesce(before(i), none), x["w"]))))
+    upto = lambda value: F.aggregate("__units", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + value(x))))
+    rows = rows.withColumn("__n", upto(lambda x: F.size(x["w"]))).withColumn("__hints", upto(lambda x: x["hint"]))
+    end = lambda i: F.least(F.size("__units") - 1, i + 2 * most)
+    fits = lambda i, j: (j > i) & F.get("__last", j) & (F.get("__n", j + 1) - F.get("__n", i) <= 2 * most) & (F.get("__hints", j + 1) > F.get("__hints", i))
+    starts = F.filter(F.sequence(F.lit(0), F.size("__units") - 1), lambda i: F.get("__first", i))
+    spans = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(i, end(i)), lambda j: fits(i, j)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    rows = rows.withColumn("__spans", F.when(F.size("__units") > 1, spans))
+    part = lambda x, name: F.transform(F.slice("__units", x["i"] + 1, x["j"] - x["i"] + 1), lambda u: u[name])
+    runs = F.transform("__spans", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), F.array_join(part(x, "t"), " ").alias("passage"), pairs_of(F.flatten(part(x, "w"))).alias("g")))
+    return rows.withColumn("__runs", F.filter(runs, lambda x: F.size(x["g"]) <= most))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Adds licenses: array<struct<license, dice, passage>>, the best template of every passage that reaches ``threshold``.
 
-    Passages are a text's distinct lines, sentences within lines, paragraphs and the whole text; ties go to the
-    template of the later name. Templates need three words. Null and empty texts have no licences; rows, also
+    Passages are a text's distinct lines, sentences within lines, paragraphs and the whole text, and of the runs
+    of adjacent sentences that reach a template those which no single passage as good and no better run over the
+    same place stands for. Passages inside a better run of another template are part of that one; ties go to the template of the later name. Templates need three words. Null and empty texts have no licences; rows, also
     repeated ones, and other columns stay, but for one named licenses. Nothing is shuffled.
     """
     templates = TEMPLATES if templates is None else templates
@@ -88,11 +123,21 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     parts = F.concat(lines, F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?;])\s+"))), F.split("__low", r"\R\s*\R"), F.array("__low"))
     rows = rows.withColumn("__parts", F.when(F.col("__low").isNotNull(), F.array_distinct(F.filter(parts, lambda x: x.rlike(hint)))).otherwise(empty))
     rows = rows.withColumn("__words", F.transform("__parts", lambda x: F.struct(x.alias("passage"), F.split(normal(x), " ").alias("w"))))
-    rows = rows.withColumn("__words", F.filter("__words", lambda x: F.size(x["w"]).between(3, 2 * most)))
-    rows = rows.withColumn("__grams", F.transform("__words", lambda x: F.struct(x["passage"].alias("passage"), F.array_distinct(F.zip_with(F.slice(x["w"], F.lit(1), F.size(x["w"]) - 1), F.slice(x["w"], F.lit(2), F.size(x["w"]) - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("g"))))
+    rows = rows.withColumn("__words", F.filter("__words", lambda x: F.size(x["w"]) >= 3))
+    rows = rows.withColumn("__grams", F.transform("__words", lambda x: F.struct(x["passage"].alias("passage"), pairs_of(x["w"]).alias("g"))))
     able = lambda x: F.filter(sets, lambda t: 2 * F.least(t["n"], F.size(x["g"])) >= threshold * (t["n"] + F.size(x["g"])) - 1e-9)
     best = lambda x: F.array_max(F.transform(able(x), lambda t: F.struct((2 * F.size(F.array_intersect(x["g"], t["grams"])) / (t["n"] + F.size(x["g"]))).alias("dice"), t["license"].alias("license"))))
     rows = rows.withColumn("__best", F.transform("__grams", lambda x: F.struct(best(x).alias("b"), x["passage"].alias("passage"))))
     reached = F.filter("__best", lambda x: F.coalesce(x["b"]["dice"] >= threshold - 1e-9, F.lit(False)))
     found = F.transform(reached, lambda x: F.struct(x["b"]["license"].alias("license"), x["b"]["dice"].alias("dice"), x["passage"].alias("passage")))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], found.alias("licenses"))
+    rows = with_runs(rows.withColumn("__found", found).drop("__parts", "__words", "__grams", "__best"), hint, sorted({x for _, g in table for x in g}), most)
+    rows = rows.withColumn("__scored", F.transform("__runs", lambda x: F.struct(best(x).alias("b"), x["i"].alias("i"), x["j"].alias("j"), x["passage"].alias("passage"))))
+    rows = rows.withColumn("__scored", F.filter("__scored", lambda x: F.coalesce(x["b"]["dice"] >= threshold - 1e-9, F.lit(False))))
+    better = lambda x, y: F.when(y["b"]["license"] == x["b"]["license"], (y["i"] <= x["j"]) & (y["j"] >= x["i"])).otherwise((y["i"] <= x["i"]) & (y["j"] >= x["j"])) & (F.struct(y["b"]["dice"], -y["i"], -y["j"]) > F.struct(x["b"]["dice"], -x["i"], -x["j"]))
+    single = lambda x: F.exists("__found", lambda y: (y["license"] == x["b"]["license"]) & (y["dice"] >= x["b"]["dice"]) & normal(x["passage"]).contains(normal(y["passage"])))
+    alone = F.filter("__scored", lambda x: ~single(x) & ~F.exists("__scored", lambda y: better(x, y)))
+    runs = F.transform(alone, lambda x: F.struct(x["b"]["license"].alias("license"), x["b"]["dice"].alias("dice"), x["passage"].alias("passage")))
+    rows = rows.withColumn("__more", F.coalesce(runs, F.array().cast("array<struct<license:string,dice:double,passage:string>>")))
+    within = lambda x: F.exists("__more", lambda y: (y["license"] != x["license"]) & (y["dice"] > x["dice"]) & normal(y["passage"]).contains(normal(x["passage"])))
+    every = F.concat(F.filter("__found", lambda x: ~within(x)), "__more")
+    return rows.select(*[F.col(f"`{c}`") for c in keep], every.alias("licenses"))
