@@ -9,8 +9,10 @@ from zephyrlake.llm.storage import checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject; all of them where nothing was learnt."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not len(model.features):
+        return docs
     return toxicity.scored(docs, model).where("predicted = 0").select(docs.columns)
 
 
