@@ -22,8 +22,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-#: An identifier-like string: a run of these characters with a digit or @ in it.
-CANDIDATE = r"(?<![A-Za-z0-9._%+@/-])(?=[A-Za-z._%+/-]*+[0-9@])[A-Za-z0-9._%+@/-]++"
+#: Digits in groups: set apart by single spaces, points or hyphens, a group may stand in brackets.
+GROUPED = r"(?<![A-Za-z0-9._%+@/-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,5}\)[\x20.-]?|[0-9]{2,5}[\x20.-]\(?)[0-9]{2,5}\)?(?:[\x20.-]\(?[0-9]{2,5}\)?){0,5}(?![A-Za-z0-9_%+@/-])"
+#: An identifier-like string: digits in groups, or a run of these characters with a digit or @ in it.
+CANDIDATE = GROUPED + r"|(?<![A-Za-z0-9._%+@/-])(?=[A-Za-z._%+/-]*+[0-9@])[A-Za-z0-9._%+@/-]++"
 LEAST_CHARS = 5
 CONTEXT_CHARS = 48
 
@@ -72,8 +74,11 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds mentions: array<struct<start, end, instance, left>> of identifier-like strings of at least five characters with up to two words before each."""
+    """Adds mentions: array<struct<start, end, instance, left>> of base spans, whole, and of identifier-like strings of at least five characters outside them, with up to two words before each."""
     docs = docs.withColumn("__found", located(F.col(text), CANDIDATE, "[0-9@]"))
+    outside = F.filter("__found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    whole = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.substring(F.col(text), b["start"] + 1, b["end"] - b["start"]).alias("text")))
+    docs = docs.withColumn("__found", F.concat(whole, outside))
     left = lambda s: F.substring(F.col(text), F.greatest(F.lit(1), s["start"] - (CONTEXT_CHARS - 1)), F.least(s["start"], F.lit(CONTEXT_CHARS)))
     words = lambda s: F.regexp_extract(F.concat(F.lit(" "), F.lower(left(s))), r"[\s\"'(<\[|]((?:[^\s\"'(<\[|]+[\s\"'(<\[|]+)?[^\s\"'(<\[|]+)[\s\"'(<\[|]*$", 1)
     named = F.transform("__found", lambda s: F.struct(s["start"].alias("start"), (s["end"] - F.length(s["text"]) + F.length(F.rtrim(s["text"], F.lit("./-")))).alias("end"), F.lower(F.rtrim(s["text"], F.lit("./-"))).alias("instance"), F.regexp_replace(words(s), r"[\s\"'(<\[|]+", " ").alias("left")))
