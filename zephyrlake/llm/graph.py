@@ -64,3 +64,20 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         held = batch.iloc[new[-1] :]
     if held is not None and len(held) > 1:
         yield held
+
+
+def whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The batches, cut so that no group of rows, which come sorted by ``keys``, is divided."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        last = (batch[keys] != batch[keys].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
+        end = int(last[-1]) + 1 if len(last) else 0
+        held = batch.iloc[end:]
+        if end:
+            yield batch.iloc[:end].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held.reset_index(drop=True)
