@@ -1,11 +1,11 @@
-"""Connected components of an edge table, and cells that split groups of any size."""
+"""Connected components of an edge table, and parts that split groups of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zephyrlake.llm.storage import cut
@@ -37,16 +37,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
-def in_cells(rows: DataFrame, key: str, member: Column, size: int, weight: Column | None = None) -> DataFrame:
-    """Adds part, cell: every two rows of a key meet in a cell of about twice ``size`` rows, and no cell grows with the key.
+def main_and_others(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:
+    """Adds cell to rows with a column class: each row goes to one part of its key's, of about ``size`` rows; those outside the key's largest class to all parts.
 
-    A group of n rows (or of that weight in all) is cut into ceil(n / size) parts; each pair of parts is a cell, to
-    which both parts go.
+    So rows of different classes of a key meet, and a key of one class costs no more than its rows.
     """
-    counts = rows.groupBy(key).agg(F.ceil(F.sum(F.lit(1) if weight is None else weight) / size).cast("int").alias("parts"))
-    rows = rows.join(counts, key).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
-    cells = F.when(F.col("parts") == 1, F.array(F.lit("0:0"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.concat_ws(":", F.least(F.col("part"), x).cast("string"), F.greatest(F.col("part"), x).cast("string"))))
-    return rows.withColumn("cell", F.explode(cells)).drop("parts")
+    by_class = rows.groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
+    keys = by_class.groupBy(key).agg(F.max_by("class", F.struct("n", "class")).alias("__main"), F.ceil(F.sum("n") / size).cast("int").alias("__parts"))
+    rows = rows.join(keys, key)
+    own = F.array(F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
+    cells = F.when(F.col("class") == F.col("__main"), own).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))
+    return rows.withColumn("cell", F.explode(cells)).drop("__main", "__parts")
 
 
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
