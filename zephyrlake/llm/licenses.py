@@ -82,15 +82,18 @@ def with_runs(rows: DataFrame, hint: str, grams: list[str], most: int) -> DataFr
     units = F.split("__low", r"\s*\R\s*|(?<=[.!?;])\s+")
     units = F.transform(units, lambda x: F.struct(x.alias("t"), F.split(normal(x), " ").alias("w"), x.rlike(hint).cast("int").alias("hint")))
     rows = rows.withColumn("__units", F.filter(units, lambda x: F.get(x["w"], F.lit(0)) != ""))
-    known = F.array(*[F.lit(x) for x in grams])
-    shares = lambda w: F.arrays_overlap(pairs_of(w), known)
+    shares = lambda w: F.exists(pairs_of(w), lambda x: x.isin(grams))
     after = lambda i: F.slice(F.get(F.col("__units"), i + 1)["w"], F.lit(1), F.lit(1))
     before = lambda i: F.slice(F.get(F.col("__units"), i - 1)["w"], F.lit(-1), F.lit(1))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("__first", F.transform("__units", lambda x, i: shares(F.concat(x["w"], F.coalesce(after(i), none)))))
-    rows = rows.withColumn("__last", F.transform("__units", lambda x, i: shares(F.concat(F.coalesce(before(i), none), x["w"]))))
     upto = lambda value: F.aggregate("__units", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + value(x))))
     rows = rows.withColumn("__n", upto(lambda x: F.size(x["w"]))).withColumn("__hints", upto(lambda x: x["hint"]))
+    # Only sentences from which a run reaches a telling word need a closer look.
+    told = F.filter(F.transform("__units", lambda x, i: F.when(x["hint"] > 0, F.get("__n", i))), lambda x: x.isNotNull())
+    rows = rows.withColumn("__told", F.when(F.size("__units") > 1, told).otherwise(F.array().cast("array<int>")))
+    near = lambda i: F.exists("__told", lambda x: F.abs(x - F.get("__n", i)) <= 2 * most)
+    rows = rows.withColumn("__first", F.transform("__units", lambda x, i: near(i) & shares(F.concat(x["w"], F.coalesce(after(i), none)))))
+    rows = rows.withColumn("__last", F.transform("__units", lambda x, i: near(i) & shares(F.concat(F.coalesce(before(i), none), x["w"]))))
     end = lambda i: F.least(F.size("__units") - 1, i + 2 * most)
     fits = lambda i, j: (j > i) & F.get("__last", j) & (F.get("__n", j + 1) - F.get("__n", i) <= 2 * most) & (F.get("__hints", j + 1) > F.get("__hints", i))
     starts = F.filter(F.sequence(F.lit(0), F.size("__units") - 1), lambda i: F.get("__first", i))
