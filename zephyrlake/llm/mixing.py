@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from zephyrlake.llm.storage import cut
 
-#: Key ranges of each source: the rows that one window holds are a source's rows divided by this.
-RANGES = 4096
+#: Key ranges for each doubling of the key: whatever the quality weights, which stretch keys, one holds a few ten-thousandths of a source's rows.
+RANGES = 1024
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -76,7 +76,7 @@ def mixed(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("__h"), words(F.col("text")).alias("size"), key.alias("__key"))
     rows = cut(rows)  # texts are read once; these rows are a few numbers each
     # An increasing function of the key that spreads the rows of any source.
-    rows = rows.withColumn("__range", F.floor((1 - F.exp(-F.col("__key"))) * RANGES)).withColumn("__null", F.col("source").isNull()).withColumn("__source", F.coalesce("source", F.lit("")))
+    rows = rows.withColumn("__range", F.floor(F.log2("__key") * RANGES)).withColumn("__null", F.col("source").isNull()).withColumn("__source", F.coalesce("source", F.lit("")))
     parts = rows.groupBy("__null", "__source", "__range").agg(F.sum("size").alias("__words"))
     sizes = parts.groupBy("__null", "__source").agg(F.sum("__words").alias("source_size"))
     plan = targets(sizes.withColumn("source", F.when(~F.col("__null"), F.col("__source"))), weights, cap, budget).drop("source", "weight")
