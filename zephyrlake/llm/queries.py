@@ -48,8 +48,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses."""
     rows = spotsigs.edited_fingerprints(read(spark, sf_dir, "documents"))
     print_own, print_changed = spotsigs.fingerprint(F.col("own")), spotsigs.fingerprint(F.col("changed"))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "own", "changed", "next_own")
-    return rows.select("doc_id", "n_chars", "edited_sha256", print_own.alias("fingerprint"), print_changed.alias("edited_fingerprint"), spotsigs.likeness(F.col("own"), F.col("changed")).alias("near_edited"), spotsigs.likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), print_own.alias("fingerprint"), print_changed.alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

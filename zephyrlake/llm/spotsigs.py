@@ -20,7 +20,7 @@ ANCHORS = (
     "al como con cuando del donde el ella entre era esta este ha hay las lo los más me mi muy no para pero por se ser si sin sobre su sus también te una y ya"
 )
 CHAIN = 2
-#: With fewer signatures than this, a text is told by its runs of four characters as well.
+#: With fewer signatures than this, a text is told by its runs of four characters as well; so are two texts that are compared, if either has fewer.
 FEW = 4
 MARK = "\u0001"
 
@@ -47,8 +47,7 @@ def trie(words: list[str]) -> str:
 def with_signatures(rows: DataFrame, columns: dict[str, str], chain: int = CHAIN) -> DataFrame:
     """Adds for each (name, text column) the sorted, distinct 32-bit signatures of the whole text (null: empty).
 
-    A text with fewer than FEW signatures, such as one without common words, is told by its runs of four
-    characters as well. The steps are columns of their own, so that none is worked out twice.
+    The steps are columns of their own, so that none is worked out twice.
     """
     step = rf"(?: {MARK}[^ ]++)*+ [^ {MARK}]++"
     spot = rf" (?=({MARK}[^ ]++(?:{step}){{{chain}}})(?: |$)){MARK}"
@@ -59,14 +58,32 @@ def with_signatures(rows: DataFrame, columns: dict[str, str], chain: int = CHAIN
         marked = F.regexp_replace(marked, rf"( {MARK}[^ ]++)(?:\1(?= |$))++", "$1")
         rows = rows.withColumn("__marked", marked).withColumn("__spots", F.regexp_extract_all("__marked", F.lit(spot), F.lit(1)))
         hashes = F.transform("__spots", lambda s: F.hash(F.regexp_replace(s, rf" {MARK}[^ ]++", "")))
-        low = F.lower(F.col(text))
-        grams = F.concat(F.regexp_extract_all(low, F.lit(r"(?s)(?=(.{4}))."), F.lit(1)), F.when(F.length(low).between(1, 3), F.array(low)).otherwise(F.array().cast("array<string>")))
-        few = F.size("__spots") < FEW
-        rows = rows.withColumn("__more", F.when(few & low.isNotNull(), F.transform(grams, lambda w: F.hash(w))).otherwise(F.array().cast("array<int>")))
-        rows = rows.withColumn(name, F.array_sort(F.array_distinct(F.concat(hashes, "__more")))).drop("__marked", "__spots", "__more")
+        rows = rows.withColumn(name, F.array_sort(F.array_distinct(hashes))).drop("__marked", "__spots")
     return rows
 
 
+def few(signatures: Column) -> Column:
+    """Whether signatures alone are too few to tell a text by, as of one without common words."""
+    return F.size(signatures) < FEW
+
+
+def with_runs(signatures: Column, text: Column) -> Column:
+    """Signatures and the hashed runs of four characters of a text, sorted and distinct; a text of one to three characters is its own run."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    grams = F.concat(F.regexp_extract_all(low, F.lit(r"(?s)(?=(.{4}))."), F.lit(1)), F.when(F.length(low).between(1, 3), F.array(low)).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.concat(signatures, F.transform(grams, lambda w: F.hash(w)))))
+
+
+def print_of(signatures: Column, text: Column) -> Column:
+    """What a text's own fingerprint holds."""
+    return F.when(few(signatures), with_runs(signatures, text)).otherwise(signatures)
+
+
+def compared(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
+    """Likeness of two texts by one kind of features for both: signatures, with runs of characters if either has few."""
+    return F.when(few(a) | few(b), likeness(with_runs(a, text_a), with_runs(b, text_b))).otherwise(likeness(a, b))
+
+
 def fingerprint(signatures: Column) -> Column:
     """A printable fingerprint: the signatures in order; empty for a text without words."""
     return F.array_join(signatures.cast("array<string>"), " ")
@@ -127,7 +144,7 @@ def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame],
 
 
 def edited_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
-    """doc_id, text, edited, and the signatures own, changed (of edited) and next_own (of the next document).
+    """doc_id, text, edited, the prints own, changed (of edited), next_own (of the next document), and the likenesses near_edited and near_next (to the next document).
 
     edited is the text whose last third of characters is replaced by as many first ones of the next document,
     in descending doc_id and after the last the first. Null texts are empty; repeated rows stay.
@@ -139,7 +156,9 @@ def edited_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
         return with_signatures(rows.withColumn("edited", edited), {"own": "text"}, chain)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return with_signatures(with_next(rows, ["text"], derive, ("own",)).drop("next_text"), {"changed": "edited"}, chain)
+    rows = with_signatures(with_next(rows, ["text"], derive, ("own",)), {"changed": "edited"}, chain)
+    own, changed, after, text, edited = (F.col(x) for x in ("own", "changed", "next_own", "text", "edited"))
+    return rows.select("doc_id", "text", "edited", print_of(own, text).alias("own"), print_of(changed, edited).alias("changed"), print_of(after, F.col("next_text")).alias("next_own"), compared(own, changed, text, edited).alias("near_edited"), compared(own, after, text, F.col("next_text")).alias("near_next"))
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:
@@ -149,7 +168,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> D
     lie in one range or in two neighbours. Of a set, ordered by signature, the first size - ceil(threshold * size) + 1
     signatures suffice to find every alike set (prefix filter); sizes prune before sets are compared.
     """
-    sets = with_signatures(docs.select("doc_id", "text"), {"sig": "text"}, chain).drop("text")
+    sets = with_signatures(docs.select("doc_id", "text"), {"sig": "text"}, chain).withColumn("sig", print_of(F.col("sig"), F.col("text"))).drop("text")
     sets = sets.where(F.size("sig") > 0).groupBy(F.sha2(fingerprint(F.col("sig")), 256).alias("key")).agg(F.min(F.struct("doc_id", "sig")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig"))
     n = F.size("sig")
     sets = sets.withColumn("n", n).withColumn("range", F.floor(F.log(n.cast("double")) / -F.log(F.lit(threshold)) + 1e-9))
