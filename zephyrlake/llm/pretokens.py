@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -107,20 +107,18 @@ class Cache:
     def __init__(self, make: Callable[[list[str]], list]):
         self.make, self.kept = make, {}
 
-    def values(self, lists: list[list[str]]) -> list[list]:
-        """The values of every pre-token of every list; new ones are made together."""
+    def values(self, lists: list[list[str]]) -> Iterator[Iterator]:
+        """The values of every pre-token of every list, one list after the other; new ones are made together beforehand."""
         if len(self.kept) > CACHE_ENTRIES:
             self.kept = {}
-        get = self.kept.get
-        out = [list(map(get, words)) for words in lists]
-        open_ = [i for i, found in enumerate(out) if None in found]
-        new = list({w for i in open_ for w, v in zip(lists[i], out[i], strict=True) if v is None})
-        if new:
-            made = dict(zip(new, self.make(new), strict=True))
-            for i in open_:
-                out[i] = [made[w] if v is None else v for w, v in zip(lists[i], out[i], strict=True)]
-            self.kept.update((w, v) for w, v in made.items() if len(w) <= CACHE_CHARS)
-        return out
+        kept = self.kept
+        new = list(set().union(*lists).difference(kept))
+        kept.update(zip(new, self.make(new), strict=True))
+        for words in lists:
+            yield map(kept.__getitem__, words)
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del kept[w]
 
 
 def chunks(texts: list[str], most: int = 2_000_000) -> Iterable[list[str]]:
