@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrlake.llm.pretokens import Cache, chunks, vocabulary, vocabulary_path
-from zephyrlake.llm.storage import cut
+from zephyrlake.llm.storage import cache_of, cut, turn_to
 
 PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -55,6 +55,9 @@ def encodings(path: str | None) -> Cache:
     return Cache(encoded)
 
 
+cache_of("packing", encodings.cache_clear)
+
+
 def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Token ids of each whole text (null: empty) and ``end_id``, cut into pieces of at most ``capacity`` tokens.
 
@@ -63,6 +66,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
     """
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("packing")
         vocab, cache = vocabulary(path), encodings(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

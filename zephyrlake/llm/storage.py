@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache_of(name: str, clear: Callable[[], None]) -> None:
+    """Registers how the caches that an operator keeps in its Python workers are dropped."""
+    _caches[name] = clear
+
+
+def turn_to(name: str) -> None:
+    """Drops what other operators keep in this worker: workers outlive the stages of a job, and each should hold one stage's caches."""
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; a local one only where none is set, as in tests."""
     context = spark.sparkContext

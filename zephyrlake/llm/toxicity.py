@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrlake.llm.pretokens import chunks
-from zephyrlake.llm.storage import cut
+from zephyrlake.llm.storage import cache_of, cut, turn_to
 
 BITS = 18
 NOTHING = np.zeros(0, np.int32)
@@ -113,8 +113,12 @@ def _kept(settings: Settings, keep: bytes | None) -> Features:
     return Features(settings, None if keep is None else np.frombuffer(keep, np.int64))
 
 
+cache_of("toxicity", _kept.cache_clear)
+
+
 def features_for(settings: Settings, keep: np.ndarray | None = None) -> Features:
     """The worker's features, whose cache outlives a task."""
+    turn_to("toxicity")
     return _kept(settings, None if keep is None else keep.tobytes())
 
 
