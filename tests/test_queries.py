@@ -47,11 +47,6 @@ def test_query_matches_sql(spark, duck, name):
     assert all(a == b or all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-4 for x, y in zip(a, b, strict=True)) for a, b in zip(mine, rows, strict=True))
 
 
-@pytest.mark.parametrize("name", ["coupled_loop", "scenario_delta"])
-def test_others_give_rows(spark, name):
-    assert registry.queries()[name](spark, SF).count() > 0
-
-
 def test_plans_have_no_cartesian_product_of_tables(spark):
     for name in ("fire_trailing_24h", "asof_backward", "align_panel"):
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

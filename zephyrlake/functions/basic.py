@@ -38,7 +38,7 @@ def truthy(text: Column) -> Column:
 def trimmed(x: Column, digits: int = 4) -> Column:
     """A number as text with at most ``digits`` decimals and no trailing zeros; null is empty."""
     text = F.format_string(f"%.{digits}f", x.cast("double"))
-    return F.coalesce(F.regexp_replace(text, r"\.?0+$", ""), F.lit(""))
+    return F.coalesce(F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text), F.lit(""))
 
 
 def slots(anchor: Column, hours: int) -> Column:

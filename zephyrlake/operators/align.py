@@ -38,8 +38,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, co
     a = left.withColumn("__held", F.lit(None).cast(right.select(held.alias("x")).schema["x"].dataType)).withColumn("__side", F.lit(1))
     b = right.select(*keys, F.col(ts), held.alias("__held"), F.lit(0).alias("__side"))
     rows = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(ts, "__side")
-    rows = rows.withColumns({"__a": F.last("__held", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first("__held", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("__side = 1")
+    # The next right row is the last one in the descending order: frames up to the end would be worked out anew for each row.
+    up, down = (Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in ([F.asc(ts), F.asc("__side")], [F.desc(ts), F.desc("__side")]))
+    rows = rows.withColumns({"__a": F.last("__held", True).over(up), "__b": F.last("__held", True).over(down)}).where("__side = 1")
     da, db = micros(ts) - micros(F.col("__a.t")), micros(F.col("__b.t")) - micros(ts)
     best = F.when(F.coalesce(da <= db, db.isNull()), F.col("__a")).otherwise(F.col("__b"))
     gap = F.abs(micros(best["t"]) - micros(ts))

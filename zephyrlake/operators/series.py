@@ -52,12 +52,12 @@ def forward_filled(df: DataFrame, keys: list[str], ts: str, columns: list[str],
 
 def interpolated(df: DataFrame, keys: list[str], ts: str, column: str, limit: int = 6) -> DataFrame:
     """Linear interpolation by row within a gap, its first ``limit`` rows only; after the last value it is repeated, before the first nothing is filled."""
-    w = ordered(keys, ts)
-    behind, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     n = F.col("__n")
     at = F.when(F.col(column).isNotNull(), n)
-    rows = df.withColumn("__n", F.row_number().over(w))
-    rows = rows.withColumns({"__x0": F.last(column, True).over(behind), "__n0": F.last(at, True).over(behind), "__x1": F.first(column, True).over(ahead), "__n1": F.first(at, True).over(ahead)})
+    rows = df.withColumn("__n", F.row_number().over(ordered(keys, ts)))
+    # The next value is the last one in the descending order: frames up to the end would be worked out anew for each row.
+    behind, ahead = (Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("__n"), F.desc("__n")))
+    rows = rows.withColumns({"__x0": F.last(column, True).over(behind), "__n0": F.last(at, True).over(behind), "__x1": F.last(column, True).over(ahead), "__n1": F.last(at, True).over(ahead)})
     step = (n - F.col("__n0")).cast("double")
     made = F.when(F.col("__n1").isNull(), F.col("__x0")).otherwise(F.col("__x0") + (F.col("__x1") - F.col("__x0")) * step / (F.col("__n1") - F.col("__n0")))
     value = F.when(F.col(column).isNotNull(), F.col(column)).when(step <= limit, made)
@@ -103,9 +103,9 @@ def current_episode(df: DataFrame, keys: list[str], ts: str, detected: str, gap_
     rows = df.withColumn("__s", seconds(ts)).withColumn("__end", F.max("__s").over(newest))
     gap = F.coalesce((F.col("__s") - F.lag("__s").over(w)) / 3600.0 > gap_hours, F.lit(False))
     rows = rows.withColumn("__break", (gap | ~F.col(detected)).cast("int"))
-    back = w.rowsBetween(1, Window.unboundedFollowing)
-    # A row belongs to the run at the end if it is detected and nothing breaks after it.
-    rows = rows.withColumn("__held", F.col(detected) & (F.coalesce(F.sum("__break").over(back), F.lit(0)) == 0))
+    # A row belongs to the run at the end if it is detected and nothing breaks after it: as many breaks up to it as in all.
+    upto, every = F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("__break").over(newest)
+    rows = rows.withColumn("__held", F.col(detected) & (upto == every))
     recent = F.col("__s") >= F.col("__end") - 3600 * window_hours
     return rows.groupBy(*keys).agg(
         F.coalesce(F.bool_or(F.col("__held")), F.lit(False)).alias("active"),

@@ -80,9 +80,9 @@ def acquisition_time(spark, sf):
     return v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("fire_id"), clean.acquired_at(date, (F.col("o_orderkey") * 13 % 2500).cast("int")).alias("acq"))
 
 
-@query(v.with_views("weather", more="m AS (SELECT quantile_cont(wind_speed, 0.5) > 3 AS kmh FROM weather)") + "SELECT station, ts, round(CASE WHEN kmh THEN wind_speed / 3.6 ELSE wind_speed END, 6) AS wind_speed FROM weather, m")
+@query(v.with_views("weather", more="m AS (SELECT quantile_cont(wind_speed, 0.5) > 3 AS kmh FROM weather)") + "SELECT station, ts, CASE WHEN kmh THEN wind_speed / CAST(3.6 AS DOUBLE) ELSE wind_speed END AS wind_speed FROM weather, m")
 def speed_units(spark, sf):
-    return r6(clean.speed_in_mps(v.weather(spark, sf).select("station", "ts", "wind_speed"), limit=3.0), "wind_speed")
+    return clean.speed_in_mps(v.weather(spark, sf).select("station", "ts", "wind_speed"), limit=3.0)
 
 
 # ---- joins
