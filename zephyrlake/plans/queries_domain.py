@@ -146,11 +146,11 @@ DAY = q.daytime("hour(ts)")
 FEEDBACK = f"f AS (SELECT station, ts, wind_speed, pbl_height, {DAY} AS day, {q.clip('coalesce(pm25, 0.0) * 0.00025', 0, 2.5)} AS aod FROM wp), g AS (SELECT *, exp(-aod) AS tr, {q.clip('1 - 0.35 * aod * exp(-aod) * day', 0.8, 1)} AS supp FROM f), h AS (SELECT *, pbl_height * supp AS corrected, {q.clip(f'0.5 * ' + q.clip('1 - pbl_height * supp / 600.0', 0, 1) + ' + 0.3 * ' + q.clip('1 - wind_speed / 8.0', 0, 1) + ' + 0.2 * (1 - day)', 0, 1)} AS stab FROM g)"
 
 
-@query(v.with_views("panel", "weather", more=f"{WP}, {FEEDBACK}") + "SELECT station, ts, round(aod, 6) AS aod, round(tr, 6) AS transmittance, round(supp, 6) AS suppression, corrected AS corrected_pbl, round(stab, 6) AS stability, round(1 + 0.4 * stab, 6) AS feedback, CASE WHEN stab >= 0.6 THEN 'strong' WHEN stab >= 0.35 THEN 'moderate' ELSE 'weak' END AS strength FROM h")
+@query(v.with_views("panel", "weather", more=f"{WP}, {FEEDBACK}") + "SELECT station, ts, aod, tr AS transmittance, supp AS suppression, corrected AS corrected_pbl, stab AS stability, 1 + 0.4 * stab AS feedback, CASE WHEN stab >= 0.6 THEN 'strong' WHEN stab >= 0.35 THEN 'moderate' ELSE 'weak' END AS strength FROM h")
 def coupling_feedback(spark, sf):
     pm, pbl, wind, hour = F.col("pm25"), F.col("pbl_height"), F.col("wind_speed"), F.hour("ts")
     rows = weather_pollution(spark, sf).withColumn("stab", met.stability(pm, pbl, wind, hour))
-    return rows.select("station", "ts", F.round(met.optical_depth(pm), 6).alias("aod"), F.round(met.transmittance(pm), 6).alias("transmittance"), F.round(met.suppression(pm, hour), 6).alias("suppression"), met.corrected_pbl(pm, pbl, hour).alias("corrected_pbl"), F.round("stab", 6).alias("stability"), F.round(1 + 0.4 * F.col("stab"), 6).alias("feedback"), met.coupling_strength(F.col("stab")).alias("strength"))
+    return rows.select("station", "ts", met.optical_depth(pm).alias("aod"), met.transmittance(pm).alias("transmittance"), met.suppression(pm, hour).alias("suppression"), met.corrected_pbl(pm, pbl, hour).alias("corrected_pbl"), F.col("stab").alias("stability"), (1 + 0.4 * F.col("stab")).alias("feedback"), met.coupling_strength(F.col("stab")).alias("strength"))
 
 
 NINE = f"c AS (SELECT station, ts, inv, temperature, no2, pm25, {VENT} AS vent, {PBLN} AS pbln, {WINDN} AS windn, {LOAD} AS load, {q.clip('(temperature - 25.0) / 15.0', 0, 1)} AS warm, {q.clip('no2 / 120.0', 0, 1)} AS no2n FROM wp), d AS (SELECT *, {q.clip('0.5 * vent + 0.2 * pbln + 0.3 * (1 - inv)', 0, 1)} AS dispersion FROM c), e AS (SELECT *, 1 - dispersion AS accumulation, {q.clip('0.5 * inv + 0.5 * (1 - pbln)', 0, 1)} AS held, {q.clip('0.4 * (1 - windn) + 0.4 * (1 - pbln) + 0.2 * inv', 0, 1)} AS stagnation, {q.clip('0.25 * (1 - vent) + 0.15 * (1 - windn)', 0, 1)} AS regional, {q.clip('0.5 * warm + 0.3 * (1 - windn) + 0.2 * coalesce(no2n, 0.0)', 0, 1)} AS ozone FROM d)"

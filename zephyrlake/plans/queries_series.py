@@ -69,10 +69,10 @@ def ffill_limit3(spark, sf):
 
 @query(
     v.with_views("panel", more=SPINE + f", n AS (SELECT *, row_number() OVER {W}) AS k FROM full_panel), g AS (SELECT station, hour, k, o3, last_value(o3 IGNORE NULLS) OVER {W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x0, last_value(CASE WHEN o3 IS NOT NULL THEN k END IGNORE NULLS) OVER {W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n0, first_value(o3 IGNORE NULLS) OVER {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x1, first_value(CASE WHEN o3 IS NOT NULL THEN k END IGNORE NULLS) OVER {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n1 FROM n)")
-    + "SELECT station, hour, round(CASE WHEN o3 IS NOT NULL THEN o3 WHEN k - n0 <= 6 THEN CASE WHEN n1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (k - n0) / (n1 - n0) END END, 6) AS o3 FROM g"
+    + "SELECT station, hour, CASE WHEN o3 IS NOT NULL THEN o3 WHEN k - n0 <= 6 THEN CASE WHEN n1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (k - n0) / (n1 - n0) END END AS o3 FROM g"
 )
 def interp_limit6(spark, sf):
-    return r6(series.interpolated(full_panel(spark, sf).select("station", "hour", "o3"), ["station"], "hour", "o3", 6), "o3")
+    return series.interpolated(full_panel(spark, sf).select("station", "hour", "o3"), ["station"], "hour", "o3", 6)
 
 
 @query(v.with_views("obs", more="g AS (SELECT station, ts, v, pollutant, CASE WHEN date_diff('second', date_trunc('second', lag(ts) OVER (PARTITION BY station ORDER BY ts)), date_trunc('second', ts)) / 3600.0 > 1.0 OR lag(ts) OVER (PARTITION BY station ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM obs)") + "SELECT station, run_id, count(*) AS n, min(ts) AS start_ts, max(ts) AS end_ts FROM (SELECT *, sum(n) OVER (PARTITION BY station ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS run_id FROM g) GROUP BY 1, 2")
