@@ -34,19 +34,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
 def main_and_others(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:
-    """Adds cell to rows with a column class: each row goes to one part of its key's, of about ``size`` rows; those outside the key's largest class to all parts.
+    """Adds cell and part to rows with a column class: each row goes to one part of its key's, of about ``size`` rows; those outside the key's largest class to all parts.
 
-    So rows of different classes of a key meet, and a key of one class costs no more than its rows.
+    So rows of different classes of a key meet, and a key of one class costs no more than its rows. part is the
+    own part of a row that goes to all, else -1: two of the former are in all cells, and need to be compared in one.
     """
     by_class = rows.groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"))
     keys = by_class.groupBy(key).agg(F.max_by("class", F.struct("n", "class")).alias("__main"), F.ceil(F.sum("n") / size).cast("int").alias("__parts"))
     rows = rows.join(keys, key)
-    own = F.array(F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
-    cells = F.when(F.col("class") == F.col("__main"), own).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))
+    own, main = F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"), F.col("class") == F.col("__main")
+    rows = rows.withColumn("part", F.when(main, F.lit(-1)).otherwise(own))
+    cells = F.when(main, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))
     return rows.withColumn("cell", F.explode(cells)).drop("__main", "__parts")
 
 
