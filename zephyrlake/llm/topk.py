@@ -36,8 +36,8 @@ def quantised(vector: Column, factor: int = 256) -> Column:
 
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products of all pairs, exact: in floating point where no sum can pass 2**53, else in integers."""
-    most = max(1, np.abs(queries).max(initial=0)) * max(1, np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
-    if float(most) < 2.0**53:
+    most = max(1.0, float(np.abs(queries).max(initial=0))) * max(1.0, float(np.abs(rows).max(initial=0))) * max(1, rows.shape[1])
+    if most < 2.0**53:
         return (queries.astype(float) @ rows.astype(float).T).astype(np.int64)
     return queries @ rows.T
 
