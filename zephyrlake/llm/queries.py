@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm import jaccard, licenses, lines, mixing, packing, pii, spotsigs, tokens, topk, toxicity
+from zephyrlake.llm import jaccard, licenses, lines, mixing, packing, pii, runs, spotsigs, tokens, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def with_repeated_tail(docs: DataFrame) -> DataFrame:
+    """doc_id, text: where crc32 of the decimal doc_id is divisible by ten, the words from a place on repeat with a period; place and period follow from that sum."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("__g"), F.when(h % 10 == 0, words).alias("__words"))
+    rows = rows.withColumn("__n", F.size("__words"))
+    a = F.when(F.col("__n") > 0, F.col("__g") % F.col("__n")).cast("int")
+    rows = rows.withColumn("__a", a).withColumn("__p", (1 + F.floor((F.col("__n") - F.col("__a")) / (3 + F.col("__g") % 8))).cast("int"))
+    left, p = F.col("__n") - F.col("__a"), F.col("__p")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("__words", F.col("__a") + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)
+    edited = F.array_join(F.concat(F.slice("__words", F.lit(1), F.col("__a")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("__n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of runs, the longest one, and digests of all runs and of the collapsed text, of every document."""
+    rows = runs.periodic_runs(with_repeated_tail(read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n")))
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.period"))
+    return rows.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -87,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op4_line_dedup, op5_source_mix, op6_fingerprints, op7_toxicity, op8_near_duplicates, op9_license_scan, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op4_line_dedup, op5_source_mix, op6_fingerprints, op7_toxicity, op8_near_duplicates, op9_license_scan, op10_packing, op11_periodic_runs, pipeline)}
 
 
 OP3_SQL = """
