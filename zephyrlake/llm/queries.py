@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm import chat, jaccard, licenses, lines, mixing, packing, pii, runs, spotsigs, tokens, topk, toxicity
+from zephyrlake.llm import chat, jaccard, licenses, lines, mixing, negatives, packing, pii, runs, spotsigs, tokens, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,13 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(back, "leaf").drop("leaf")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector's five best of its label, and for each the ten best of other labels between 30 and 90 per cent of its score."""
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -127,7 +134,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op4_line_dedup, op5_source_mix, op6_fingerprints, op7_toxicity, op8_near_duplicates, op9_license_scan, op10_packing, op11_periodic_runs, op12_chat_format, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_top_products, op4_line_dedup, op5_source_mix, op6_fingerprints, op7_toxicity, op8_near_duplicates, op9_license_scan, op10_packing, op11_periodic_runs, op12_chat_format, op13_hard_negatives, pipeline)}
 
 
 OP3_SQL = """
@@ -164,6 +171,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM w GROUP BY conv_id"""
 
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, CAST(list_dot_product(a.v, o.v) AS BIGINT) AS score FROM v a JOIN v o ON o.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name; all other operators hash, learn or search, and are held against brute force in tests."""
-    return {"op3_top_products": OP3_SQL, "op5_source_mix": OP5_SQL, "op12_chat_format": OP12_SQL}
+    return {"op3_top_products": OP3_SQL, "op5_source_mix": OP5_SQL, "op12_chat_format": OP12_SQL, "op13_hard_negatives": OP13_SQL}
