@@ -21,6 +21,33 @@ def errors(df: DataFrame, keys: list[str], actual: str = "y", predicted: str = "
     return out.select(*keys, "n", "mae", F.sqrt("mse").alias("rmse"), r2.alias("r2"), F.coalesce(100.0 * F.col("mape"), F.lit(0.0)).alias("mape"), F.when(F.col("m") != 0, F.col("mae") / F.col("m")).otherwise(0.0).alias("nmae"))
 
 
+def answered_by_all(df: DataFrame, actual: str, models: dict[str, str]) -> DataFrame:
+    """Columns of df, then model, y, p: one row per model for each row on which the actual value and every model's answer are there.
+
+    models: the column of each model's answers. All models are compared on the same rows; they become long rows
+    without a shuffle.
+    """
+    whole = df.where(F.col(actual).isNotNull())
+    for c in models.values():
+        whole = whole.where(F.col(c).isNotNull())
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("p")) for m, c in models.items()])
+    return whole.withColumn("__m", F.explode(each)).select(*df.columns, "__m.model", F.col(actual).cast("double").alias("y"), "__m.p")
+
+
+def compared(df: DataFrame, keys: list[str], actual: str, models: dict[str, str], split: str | None = None, coverage: float = 0.85) -> DataFrame:
+    """The errors of every model per key on the rows that all of them answer, from one aggregation; with a split also the interval of each.
+
+    split: a column that says validation or test; errors are those of test rows, and quantile and test_coverage those of
+    ``conformal_linear``.
+    """
+    rows = answered_by_all(df, actual, models)
+    own = [*keys, "model"]
+    if split is None:
+        return errors(rows, own)
+    held = conformal_linear(rows.withColumn("r", F.col("y") - F.col("p")), own, split, coverage=coverage)
+    return errors(rows.where(F.col(split) == "test"), own).join(held.select(*own, "quantile", "test_coverage"), own, "left")
+
+
 def category_scores(df: DataFrame, actual: str = "y", predicted: str = "p", strict: bool = False) -> DataFrame:
     """category, precision, recall, f1, support per index category.
 

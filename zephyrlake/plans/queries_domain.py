@@ -261,35 +261,3 @@ def advective_blend(spark, sf):
 @query(v.with_views("obs", "stations5", more=f"{GRID}, {POINTS}") + ", x AS (SELECT i, j, sum(value / (pow(lat - plat, 2) + pow(lon - plon, 2) + 1e-12)) / sum(1 / (pow(lat - plat, 2) + pow(lon - plon, 2) + 1e-12)) AS value FROM grid, pts WHERE pow(lat - plat, 2) + pow(lon - plon, 2) <= 0.0625 GROUP BY 1, 2) SELECT g.i, g.j, round(coalesce(x.value, 0.0), 5) AS value FROM grid g LEFT JOIN x ON x.i = g.i AND x.j = g.j")
 def idw_radius(spark, sf):
     return grid.idw_within(grid.grid(spark), station_points(spark, sf)).select("i", "j", F.round("value", 5).alias("value"))
-
-
-# ---- not expressible in SQL: trained models
-
-
-def model_rows(spark, sf):
-    rows = series.lags(v.panel(spark, sf).where("pm25 is not null").select("station", "hour", "pm25"), ["station"], "hour", "pm25", [1, 3, 6])
-    rows = series.trailing_stats(rows, ["station"], "hour", "pm25", [6])
-    w = v.weather(spark, sf).withColumnRenamed("ts", "hour")
-    rows = series.targets(rows.join(w, ["station", "hour"], "left"), ["station"], "hour", "pm25", [1])
-    return series.chronological_split(rows, "hour", ["station"])
-
-
-FEATURES = ["pm25", "pm25_lag1", "pm25_lag3", "pm25_lag6", "pm25_mean6", "wind_speed", "pbl_height", "temperature", "humidity"]
-
-
-def train_score(spark, sf, kind):
-    from zephyrlake.operators import models
-
-    rows = model_rows(spark, sf)
-    out = models.scored(models.trained(rows, FEATURES, "pm25_t1", kind), rows.where("split = 'test' and pm25_t1 is not null"))
-    return evaluate.errors(out, ["station"], "pm25_t1", "p")
-
-
-@query(None)
-def rf_train_score(spark, sf):
-    return train_score(spark, sf, "random_forest")
-
-
-@query(None)
-def gbt_train_score(spark, sf):
-    return train_score(spark, sf, "gbt")

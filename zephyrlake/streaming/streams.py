@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zephyrlake.operators.upsert import merged
+from zephyrlake.sources.shared import shared_dir
 
 
 def readings(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
@@ -55,15 +53,9 @@ def upserts(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base}/streams-{uuid.uuid4().hex}"
-
-
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there, its results written as Parquet, and reads them: the last state if complete, else all batches."""
-    spark, base = stream.sparkSession, shared_dir(stream.sparkSession)
+    spark, base = stream.sparkSession, shared_dir(stream.sparkSession, "streams")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch_id}")
