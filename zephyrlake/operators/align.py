@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zephyrlake.operators.nearest import nearest_in_degrees
 from zephyrlake.operators.series import micros
 
 
@@ -53,15 +54,6 @@ def forecast_outcomes(forecasts: DataFrame, observed: DataFrame, keys: list[str]
     return forecasts.join(observed.select(*keys, hour, actual), [*keys, hour], "left").withColumn("delta", F.col(actual) - F.col(predicted))
 
 
-def nearest_of(points: DataFrame, stations: DataFrame, lat: str = "lat", lon: str = "lon", most: int = 10_000) -> DataFrame:
-    """Each point with its nearest station in squared degrees (ties: least station).
-
-    stations: (station, slat, slon). They are folded into one array beside each point, which only holds while
-    they are few: more than ``most`` are refused.
-    """
-    table = stations.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("station", "slat", "slon"))).alias("s"))
-    table = table.select(F.when(F.col("n") <= most, F.col("s")).otherwise(F.raise_error(F.lit("too many stations to hold beside each point"))).alias("__s"))
-    d = lambda s: (F.col(lat) - s["slat"]) * (F.col(lat) - s["slat"]) + (F.col(lon) - s["slon"]) * (F.col(lon) - s["slon"])
-    rows = points.crossJoin(F.broadcast(table))  # one row
-    near = F.array_min(F.transform("__s", lambda s: F.struct(d(s).alias("d"), s["station"].alias("station"))))
-    return rows.withColumn("__near", near).select(*points.columns, F.col("__near.station").alias("station"))
+def nearest_of(points: DataFrame, stations: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Each point with its nearest station in squared degrees (ties: least station); any number of either."""
+    return nearest_in_degrees(points, stations, lat, lon).select(*points.columns, "station")

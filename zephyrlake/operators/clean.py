@@ -56,10 +56,11 @@ def iqr_flags(df: DataFrame, columns: list[str], width: float = 3.0) -> DataFram
     return df.crossJoin(F.broadcast(stats)).withColumns(out).select(*df.columns, *out)  # one row
 
 
-def speed_in_mps(df: DataFrame, column: str = "wind_speed", limit: float = 30.0) -> DataFrame:
-    """Speeds divided by 3.6 if their median says that they are in km/h."""
-    stats = df.agg((F.percentile(column, 0.5) > limit).alias("__kmh"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(column, F.when(F.col("__kmh"), F.col(column) / 3.6).otherwise(F.col(column))).select(df.columns)  # one row
+def speed_in_mps(df: DataFrame, column: str = "wind_speed", limit: float = 30.0, by: list[str] | None = None) -> DataFrame:
+    """Speeds divided by 3.6 if their median, or that of their key, says that they are in km/h."""
+    kmh = (F.percentile(column, 0.5) > limit).alias("__kmh")
+    rows = df.join(df.groupBy(*by).agg(kmh), by, "left") if by else df.crossJoin(F.broadcast(df.agg(kmh)))  # one row
+    return rows.withColumn(column, F.when(F.col("__kmh"), F.col(column) / 3.6).otherwise(F.col(column))).select(df.columns)
 
 
 def confident(df: DataFrame, least: str = "nominal", column: str = "confidence") -> DataFrame:

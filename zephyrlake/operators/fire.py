@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrlake.functions import geo
+from zephyrlake.operators.nearest import nearest_in_km
 from zephyrlake.operators.series import seconds
 
 MAX_KM = 500.0
 
 
+def cell_of(lat: Column, lon: Column) -> Column:
+    """The cell of five degrees that holds a place."""
+    return F.concat_ws(":", F.floor(lat / 5).cast("string"), F.floor(lon / 5).cast("string"))
+
+
+def with_cells(stations: DataFrame, max_km: float) -> DataFrame:
+    """Rows (slat, slon) once for every cell that their reach can touch."""
+    dlat = max_km / 111.0
+    dlon = F.least(F.lit(180.0), dlat / F.greatest(F.lit(0.05), F.cos(F.radians(F.abs(F.col("slat")) + dlat))))
+    span = lambda x, d: F.sequence(F.floor((x - d) / 5), F.floor((x + d) / 5))
+    rows = stations.withColumn("__i", F.explode(span(F.col("slat"), F.lit(dlat)))).withColumn("__j", F.explode(span(F.col("slon"), dlon)))
+    return rows.withColumn("__cell", F.concat_ws(":", F.col("__i").cast("string"), F.col("__j").cast("string"))).drop("__i", "__j")
+
+
 def near_fires(fires: DataFrame, stations: DataFrame, max_km: float = MAX_KM) -> DataFrame:
     """(station, fire columns, km, bearing) for fires within reach of a station.
 
     stations: (station, slat, slon). Both sides are dealt to cells of five degrees, stations to all cells that
     their reach can touch, so that only neighbours meet.
     """
-    cell = lambda lat, lon: F.concat_ws(":", F.floor(lat / 5).cast("string"), F.floor(lon / 5).cast("string"))
-    dlat = max_km / 111.0
-    dlon = F.least(F.lit(180.0), dlat / F.greatest(F.lit(0.05), F.cos(F.radians(F.abs(F.col("slat")) + dlat))))
-    span = lambda x, d: F.sequence(F.floor((x - d) / 5), F.floor((x + d) / 5))
-    homes = stations.withColumn("__i", F.explode(span(F.col("slat"), F.lit(dlat)))).withColumn("__j", F.explode(span(F.col("slon"), dlon)))
-    homes = homes.select("station", "slat", "slon", F.concat_ws(":", F.col("__i").cast("string"), F.col("__j").cast("string")).alias("__cell"))
-    rows = fires.withColumn("__cell", cell(F.col("lat"), F.col("lon"))).join(homes, "__cell").drop("__cell")
+    homes = with_cells(stations.select("station", "slat", "slon"), max_km)
+    rows = fires.withColumn("__cell", cell_of(F.col("lat"), F.col("lon"))).join(homes, "__cell").drop("__cell")
     rows = rows.withColumn("km", geo.haversine(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= max_km)
     return rows.withColumn("bearing", geo.bearing(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))).drop("slat", "slon")
 
@@ -70,10 +80,15 @@ def trailing_fires(panel: DataFrame, fires: DataFrame, stations: DataFrame, hour
 
 
 def same_hour_fires(panel: DataFrame, fires: DataFrame, stations: DataFrame, max_km: float = MAX_KM) -> DataFrame:
-    """Panel rows (station, hour) with count and power of the same hour's fires within reach, and the distance of the nearest at any."""
-    hourly = fires.withColumn("hour", F.date_trunc("hour", "acq").cast("timestamp_ntz"))
-    met = panel.select("station", "hour").join(stations, "station").join(hourly.select("hour", "lat", "lon", "frp"), "hour")
-    met = met.withColumn("km", geo.haversine(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon")))
-    inside = F.col("km") <= max_km
-    out = met.groupBy("station", "hour").agg(F.count_if(inside).alias("fire_count"), F.sum(F.when(inside, F.col("frp"))).alias("total_frp"), F.min("km").alias("nearest_fire_distance"))
-    return panel.join(out, ["station", "hour"], "left").fillna({"fire_count": 0, "total_frp": 0.0})
+    """Panel rows (station, hour) with count and power of the same hour's fires within reach, and the distance of the nearest at any.
+
+    Fires within reach meet by cell and hour; the nearest is found by cells that widen where an hour has none near.
+    """
+    hourly = fires.withColumn("hour", F.date_trunc("hour", "acq").cast("timestamp_ntz")).select("hour", "lat", "lon", "frp")
+    rows = panel.select("station", "hour").distinct().join(stations, "station")
+    homes = with_cells(rows, max_km).join(hourly.withColumn("__cell", cell_of(F.col("lat"), F.col("lon"))), ["hour", "__cell"])
+    inside = homes.where(geo.haversine(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon")) <= max_km)
+    counts = inside.groupBy("station", "hour").agg(F.count(F.lit(1)).alias("fire_count"), F.sum("frp").alias("total_frp"))
+    near = nearest_in_km(rows, hourly.select("hour", "lat", "lon"), [], "slat", "slon", "lat", "lon", ["hour"]).select("station", "hour", F.col("distance").alias("nearest_fire_distance"))
+    out = panel.join(counts, ["station", "hour"], "left").join(near, ["station", "hour"], "left")
+    return out.fillna({"fire_count": 0, "total_frp": 0.0})

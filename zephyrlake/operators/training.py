@@ -38,6 +38,44 @@ def train_stats(df: DataFrame, keys: list[str], ts: str, columns: list[str], spl
     return each.select("x.feature", "x.s.n", "x.s.mean", F.when(deviation == 0, 1.0).otherwise(deviation).alias("deviation"))
 
 
+def lookback_spans(df: DataFrame, keys: list[str], ts: str, spans_days: tuple[int, ...] = (10, 30, 120), least: int = 4) -> DataFrame:
+    """keys, release (a key's latest time), rows_<span> within each span before it, and span_days: the first span with at least ``least`` rows, null if none has.
+
+    All spans are counted in one aggregation.
+    """
+    release = df.groupBy(*keys).agg(F.max(ts).alias("release"))
+    within = {d: F.col(ts) >= F.col("release") - F.expr(f"INTERVAL {d} DAYS") for d in spans_days}
+    counts = df.join(release, keys).groupBy(*keys, "release").agg(*[F.count_if(x).alias(f"rows_{d}") for d, x in within.items()])
+    span = F.coalesce(*[F.when(F.col(f"rows_{d}") >= least, F.lit(d)) for d in sorted(spans_days)])
+    return counts.withColumn("span_days", span)
+
+
+def lookback_rows(df: DataFrame, spans: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """The rows of each key within its own span; keys whose longest span holds too few have none."""
+    chosen = spans.where("span_days is not null").select(*keys, F.col("release").alias("__release"), F.col("span_days").alias("__span"))
+    rows = df.join(chosen, keys)
+    since = F.col("__release") - F.make_dt_interval(F.col("__span"))
+    return rows.where((F.col(ts) >= since) & (F.col(ts) <= F.col("__release"))).select(df.columns)
+
+
+def serving_rows(readings: DataFrame, weather: DataFrame, spans_days: tuple[int, ...] = (10, 30, 120), least: int = 4, weather_days: int = 5, target: str = "pm25", value_columns: tuple[str, ...] = ("temperature", "humidity", "wind_speed", "pbl_height")) -> DataFrame:
+    """The newest model row of each station: its last hour with lags and trailing means over its own look-back, the weather of that hour, and what the row rests on.
+
+    readings: (station, ts, target), hourly, with nulls where nothing was measured; weather: (station, ts, ...). Rows
+    counted as context: pollution_rows_in_window, weather_rows_in_window and span_days.
+    """
+    spans = lookback_spans(readings, ["station"], "ts", spans_days, least)
+    rows = lookback_rows(readings, spans, ["station"], "ts")
+    w = Window.partitionBy("station").orderBy("ts")
+    rows = rows.withColumns({f"{target}_lag{k}": F.lag(target, k).over(w) for k in (1, 3, 6)} | {f"{target}_mean{k}": F.avg(target).over(w.rowsBetween(-k, -1)) for k in (6, 24)})
+    rows = rows.withColumns({"hour": F.date_trunc("hour", "ts").cast("timestamp_ntz"), "__n": F.count(F.lit(1)).over(Window.partitionBy("station")), "__last": F.row_number().over(Window.partitionBy("station").orderBy(F.desc("ts")))}).where("__last = 1")
+    near = weather.join(spans.select("station", "release"), "station").where((F.col("ts") >= F.col("release") - F.expr(f"INTERVAL {weather_days} DAYS")) & (F.col("ts") <= F.col("release")))
+    counted = near.groupBy("station").agg(F.count(F.lit(1)).alias("weather_rows_in_window"))
+    at = near.select("station", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), *value_columns)
+    out = rows.join(at, ["station", "hour"], "left").join(counted, "station", "left").join(spans.select("station", "span_days"), "station")
+    return out.select("station", "hour", target, *[f"{target}_lag{k}" for k in (1, 3, 6)], *[f"{target}_mean{k}" for k in (6, 24)], *value_columns, F.col("__n").alias("pollution_rows_in_window"), F.coalesce("weather_rows_in_window", F.lit(0)).cast("long").alias("weather_rows_in_window"), "span_days")
+
+
 def newest_run(forecasts: DataFrame, keys: list[str], created: str) -> DataFrame:
     """The rows of each key's newest run; if that run has a single row, all rows of the key."""
     runs = forecasts.groupBy(*keys, created).agg(F.count(F.lit(1)).alias("__n"))
