@@ -40,6 +40,23 @@ def idw(cells: DataFrame, points: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.coalesce(hit, weighted(F.col("__p"), d2))).select(*cells.columns, "value")
 
 
+def within(cells: DataFrame, points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """keys, i, j, value: the inverse-square-distance mean of the points (keys, record, plat, plon, value) within a radius in degrees of a cell, for cells that have some.
+
+    Points go to the nine squares of that size about their own, so cells meet only points near by; a point that lies
+    on a cell gives its own value, the first by record and value if there are several. Points without a value take no part.
+    """
+    box = lambda x: F.floor(x / radius)
+    near = F.sequence(F.lit(-1), F.lit(1))
+    p = points.where("value is not null").withColumn("__r", F.explode(F.transform(near, lambda d: box(F.col("plat")) + d)))
+    p = p.withColumn("__c", F.explode(F.transform(near, lambda d: box(F.col("plon")) + d)))
+    d2 = F.pow(F.col("lat") - F.col("plat"), 2) + F.pow(F.col("lon") - F.col("plon"), 2)
+    met = cells.withColumns({"__r": box(F.col("lat")), "__c": box(F.col("lon"))}).join(p, ["__r", "__c"]).withColumn("__d2", d2).where(F.col("__d2") <= radius * radius)
+    on = F.min(F.when(F.col("__d2") == 0, F.struct("record", "value")))["value"]
+    w = 1 / F.when(F.col("__d2") > 0, F.col("__d2"))
+    return met.groupBy(*keys, "i", "j").agg(F.coalesce(on, F.sum(F.col("value") * w) / F.sum(w)).alias("value"))
+
+
 def idw_within(cells: DataFrame, points: DataFrame, radius: float = 0.25) -> DataFrame:
     """Cells with the inverse-square-distance mean of the points within a radius in degrees, 0 where there are none.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zephyrlake.operators import nearest, profile, training
+from zephyrlake.operators import grid, guarded, nearest, profile, training
 from zephyrlake.plans import sqlparts as q
 from zephyrlake.plans import views as v
-from zephyrlake.sources import files
+from zephyrlake.sources import dumps, files
 from zephyrlake.sources.shared import shared_dir
 
 QUERIES, SQL = {}, {}
@@ -166,3 +166,69 @@ def boundary_layer_files(spark, sf):
     out = files.atmosphere(spark, f"{base}/*/*.csv", places)
     back = places.select(F.col("station").cast("string").alias("station"), "slat", "slon")
     return out.drop("lat", "lon").join(back, "station").select("station", "timestamp", F.col("slat").alias("lat"), F.col("slon").alias("lon"), "pbl_height")
+
+
+# ---- binary dumps
+
+
+CELLS = "pt AS (SELECT date_trunc('hour', acq) AS time, CAST(CASE WHEN fire_id % 2 = 0 THEN 10 ELSE 100 END AS INT) AS level, CAST(floor((lon - 73.5) / CAST(0.125 AS DOUBLE)) + 1 AS INT) AS i, CAST(floor((lat - 27.5) / CAST(0.125 AS DOUBLE)) + 1 AS INT) AS j, CAST(CAST(frp AS FLOAT) AS DOUBLE) AS value FROM fires), pp AS (SELECT *, 27.5 + (j - 1) * CAST(0.125 AS DOUBLE) AS lat, 73.5 + (i - 1) * CAST(0.125 AS DOUBLE) AS lon FROM pt)"
+
+
+def dumped(spark, sf):
+    """path, content: a dump for each hour that has fires, their power by cell on two levels."""
+    import datetime as dt
+
+    import pandas as pd
+
+    rows = v.fires(spark, sf).select(F.date_trunc("hour", "acq").cast("timestamp_ntz").alias("time"), F.when(F.col("fire_id") % 2 == 0, 10).otherwise(100).alias("level"), F.floor((F.col("lon") - 73.5) / 0.125).alias("i"), F.floor((F.col("lat") - 27.5) / 0.125).alias("j"), "frp")
+
+    def written(key, own):
+        start = key[0].to_pydatetime()
+        blocks = [[(int(x.i) + 1, int(x.j) + 1, x.frp) for x in own[own["level"] == level].itertuples()] for level in (10, 100)]
+        content = dumps.written_dump((48, 48, 0.125, 0.125, 27.5, 73.5), [10, 100], ["PM25"], [(start, start + dt.timedelta(hours=1), blocks)])
+        return pd.DataFrame({"path": [start.isoformat()], "content": [content]})
+
+    return rows.groupBy("time").applyInPandas(written, "path string, content binary")
+
+
+@query(v.with_views("fires", more=CELLS) + "SELECT time, CAST(1.0 AS DOUBLE) AS hours, level, 'PM25' AS species, i, j, lat, lon, value FROM pp")
+def dump_points(spark, sf):
+    return dumps.dump_points(dumped(spark, sf)).drop("path", "record")
+
+
+NODES = "cl AS (SELECT a AS i, b AS j, 27.5 + a * CAST(0.5 AS DOUBLE) AS clat, 73.5 + b * CAST(0.5 AS DOUBLE) AS clon FROM range(12) x(a), range(10) y(b))"
+
+
+@query(v.with_views("fires", more=f"{CELLS}, {NODES}, m AS (SELECT time, cl.i, cl.j, level, value, pow(clat - lat, 2) + pow(clon - lon, 2) AS d2 FROM cl, pp WHERE pow(clat - lat, 2) + pow(clon - lon, 2) <= 0.0625), w AS (SELECT time, i, j, (list_sort(list({{'l': level, 'v': value}}) FILTER (WHERE d2 = 0))[1]).v AS hit, sum(value / nullif(d2, 0)) / sum(1 / nullif(d2, 0)) AS mean FROM m GROUP BY 1, 2, 3)") + "SELECT t.time, cl.i, cl.j, round(coalesce(hit, mean, 0.0), 5) AS value FROM (SELECT DISTINCT time FROM pp) t CROSS JOIN cl LEFT JOIN w ON w.time = t.time AND w.i = cl.i AND w.j = cl.j")
+def dump_surfaces(spark, sf):
+    cells = grid.grid(spark, 12, 10, 27.5, 73.5, 0.5)
+    return dumps.dump_surfaces(dumps.dump_points(dumped(spark, sf)), cells).select("time", "i", "j", F.round("value", 5).alias("value"))
+
+
+# ---- writes held by their counts
+
+
+SEEN = "se AS (SELECT fire_id, CASE fire_id % 3 WHEN 0 THEN 'N20 ' WHEN 1 THEN 'N' END AS satellite, lat, lon, acq, fire_id % 2 = 0 AS synthetic, CASE fire_id % 5 WHEN 0 THEN 'firms_live' WHEN 1 THEN NULL WHEN 2 THEN 'archive' ELSE 'unknown' END AS source, fire_id % 4 <> 3 AS known FROM fires), ac AS (SELECT *, CASE WHEN NOT known THEN 'unmatched' WHEN source = 'firms_live' THEN 'protected' WHEN NOT synthetic AND source IS NOT DISTINCT FROM 'archive' THEN 'unchanged' ELSE 'changed' END AS action FROM se)"
+
+
+def detections(spark, sf):
+    """Stored detections, and the signatures of those that are known."""
+    k = F.col("fire_id")
+    rows = v.fires(spark, sf).select(k, F.when(k % 3 == 0, "N20 ").when(k % 3 == 1, "N").alias("satellite"), "lat", "lon", "acq", (k % 2 == 0).alias("synthetic"), F.when(k % 5 == 0, "firms_live").when(k % 5 == 1, None).when(k % 5 == 2, "archive").otherwise("unknown").alias("source"))
+    known = rows.where(k % 4 != 3).select(F.trim("satellite").alias("satellite"), (F.col("lat") + 0.00001).alias("lat"), (F.col("lon") - 0.00001).alias("lon"), "acq", F.lit(False).alias("synthetic"), F.lit("archive").alias("source"))
+    return rows, known
+
+
+@query(v.with_views("fires", more=SEEN) + "SELECT fire_id, satellite, CASE WHEN action = 'changed' THEN false ELSE synthetic END AS synthetic, CASE WHEN action = 'changed' THEN 'archive' ELSE source END AS source FROM ac")
+def guarded_backfill(spark, sf):
+    path = f"{shared_dir(spark, 'guarded')}/table"
+    rows, known = detections(spark, sf)
+    rows.write.parquet(path)
+    guarded.guarded_update(spark, path, known)
+    return spark.read.parquet(path).select("fire_id", "satellite", "synthetic", "source")
+
+
+@query(v.with_views("fires", more=SEEN) + "SELECT action, count(*) AS n, count(*) FILTER (WHERE action = 'changed' AND source IS NULL) AS n_filled FROM ac GROUP BY 1")
+def guarded_actions(spark, sf):
+    out = guarded.reclassified(*detections(spark, sf))
+    return out.groupBy(F.col("__action").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.count_if("__filled").alias("n_filled"))

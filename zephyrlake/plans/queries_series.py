@@ -189,11 +189,15 @@ def stream_obs(spark, sf):
     return stream.select("event_id", (F.col("user_id") % 5).cast("int").alias("station"), "ts", kind.alias("pollutant"), F.col("value").alias("v"))
 
 
-@query(v.with_views("obs") + "SELECT station, pollutant, date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(v), 6) AS v FROM obs GROUP BY 1, 2, 3")
+#: Hours and sessions are told once the watermark, three hours behind the newest row, has passed their end.
+PASSED = "(SELECT max(ts) - INTERVAL 3 HOUR FROM obs)"
+
+
+@query(v.with_views("obs") + f"SELECT station, pollutant, date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(v), 6) AS v FROM obs GROUP BY 1, 2, 3 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= {PASSED}")
 def stream_hourly(spark, sf):
     from zephyrlake.streaming import streams
 
-    out = streams.finished(streams.hourly(stream_obs(spark, sf), "60 days"))
+    out = streams.finished(streams.hourly(stream_obs(spark, sf), "3 hours"))
     return r6(out.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "v")
 
 
@@ -205,9 +209,27 @@ def stream_dedupe(spark, sf):
     return streams.finished(stream.dropDuplicates(), "append")
 
 
-@query(v.with_views("obs", more="g AS (SELECT station, ts, v, CASE WHEN lag(ts) OVER (PARTITION BY station ORDER BY ts) > ts - INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM obs), r AS (SELECT *, sum(n) OVER (PARTITION BY station ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)") + "SELECT station, min(ts) AS start_ts, max(ts) + INTERVAL 1 HOUR AS end_ts, count(*) AS n, max(v) AS peak FROM r GROUP BY station, k")
+@query(v.with_views("obs", more="g AS (SELECT station, ts, v, CASE WHEN lag(ts) OVER (PARTITION BY station ORDER BY ts) > ts - INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM obs), r AS (SELECT *, sum(n) OVER (PARTITION BY station ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)") + "SELECT station, min(ts) AS start_ts, max(ts) + INTERVAL 1 HOUR AS end_ts, count(*) AS n, max(v) AS peak FROM r GROUP BY station, k HAVING max(ts) + INTERVAL 1 HOUR <= " + PASSED)
 def stream_sessions(spark, sf):
     from zephyrlake.streaming import streams
 
-    out = streams.finished(streams.sessions(stream_obs(spark, sf), "1 hour", "60 days"))
+    out = streams.finished(streams.sessions(stream_obs(spark, sf), "1 hour", "3 hours"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
+
+
+@query(v.with_views("obs", more="o AS (SELECT * FROM obs WHERE pollutant IS NOT NULL AND v >= 1), n AS (SELECT station, pollutant, max(ts) AS ts FROM o GROUP BY 1, 2), e AS (SELECT max(ts) - INTERVAL 3 HOUR AS passed FROM o)") + "SELECT n.station, n.pollutant, n.ts, max(o.v) AS v, CASE WHEN n.ts + INTERVAL 30 MINUTE <= passed THEN 'stale' ELSE 'fresh' END AS status FROM n JOIN o ON o.station = n.station AND o.pollutant = n.pollutant AND o.ts = n.ts, e GROUP BY n.station, n.pollutant, n.ts, passed")
+def stream_latest(spark, sf):
+    from zephyrlake.streaming import streams
+
+    keys = ["station", "pollutant"]
+    rows = streams.accepted(stream_obs(spark, sf), keys, {"v is below 1": F.col("v") >= 1})
+    out = streams.finished_state(streams.latest_state(rows, keys, ["v"], "3 hours", 0.5), keys)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(v.with_views("obs") + "SELECT station, pollutant, ts, v, 'v is below 1' AS error FROM obs WHERE v < 1")
+def stream_rejected(spark, sf):
+    from zephyrlake.streaming import streams
+
+    out = streams.finished(streams.rejected(stream_obs(spark, sf), ["station", "pollutant"], {"v is below 1": F.col("v") >= 1}))
+    return out.select("station", "pollutant", F.col("ts").cast("timestamp_ntz").alias("ts"), "v", "error")

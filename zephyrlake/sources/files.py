@@ -128,26 +128,3 @@ def wide_hours(spark: SparkSession, path: str, zone: str = "Asia/Kolkata") -> Da
     hours = [c for c in raw.columns if len(c) == 8 and c[2] == ":" and c[5] == ":"]
     long = raw.select(F.col("station_name").alias("station"), "date", *[number(F.col(f"`{c}`")).alias(c) for c in hours]).unpivot(["station", "date"], [F.col(f"`{c}`") for c in hours], "hour", "aqi").where("aqi >= 0")
     return long.select("station", timestamp(F.concat_ws(" ", "date", "hour"), zone).alias("timestamp"), "aqi").where("timestamp is not null")
-
-
-def dump_records(payload: bytes) -> list[tuple[int, bytes]]:
-    """(place, body) of the big-endian length-framed records of a binary dump; a torn file ends at its last whole record."""
-    out, at = [], 0
-    while at + 8 <= len(payload):
-        size = int.from_bytes(payload[at : at + 4], "big")
-        if at + 8 + size > len(payload) or int.from_bytes(payload[at + 4 + size : at + 8 + size], "big") != size:
-            break
-        out.append((at, payload[at + 4 : at + 4 + size]))
-        at += 8 + size
-    return out
-
-
-def dumps(spark: SparkSession, path: str) -> DataFrame:
-    """path, record, n_bytes of the records of binary concentration dumps, one task per file."""
-    import pandas as pd
-
-    def parse(batches):
-        for batch in batches:
-            yield pd.DataFrame([(p, n, len(body)) for p, c in zip(batch["path"], batch["content"], strict=True) for n, (_, body) in enumerate(dump_records(c))], columns=["path", "record", "n_bytes"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, record int, n_bytes int")
