@@ -29,13 +29,43 @@ def split_by_span(df: DataFrame, ts: str, shares: tuple[float, float] = (0.6, 0.
 
 
 def train_stats(df: DataFrame, keys: list[str], ts: str, columns: list[str], split: str = "train") -> DataFrame:
-    """feature, n, mean, deviation of the rows of one split, gaps filled from the past of their key; a constant feature has the deviation 1."""
+    """feature, n, mean, deviation, median of the rows of one split, gaps filled from the past of their key; a constant feature has the deviation 1."""
     w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.where(F.col("split") == split).withColumns({c: F.last(c, True).over(w) for c in columns})
-    stats = rows.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation")).alias(c) for c in columns])
+    stats = rows.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation"), F.median(c).alias("median")).alias(c) for c in columns])
     each = stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in columns])).alias("x"))
     deviation = F.col("x.s.deviation")
-    return each.select("x.feature", "x.s.n", "x.s.mean", F.when(deviation == 0, 1.0).otherwise(deviation).alias("deviation"))
+    return each.select("x.feature", "x.s.n", "x.s.mean", F.when(deviation == 0, 1.0).otherwise(deviation).alias("deviation"), "x.s.median")
+
+
+def standardised(df: DataFrame, stats: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
+    """Columns filled from the past of their key, else with the training median (0 where there is none), then as deviations from the training mean."""
+    one = stats.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "deviation", "median")))).alias("__s"))  # one row per feature
+    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({c: F.last(c, True).over(w) for c in columns}).crossJoin(F.broadcast(one))  # one row
+    s = lambda c, name: F.col("__s")[c][name]
+    return rows.withColumns({c: (F.coalesce(F.col(c), s(c, "median"), F.lit(0.0)) - s(c, "mean")) / s(c, "deviation") for c in columns}).select(df.columns)
+
+
+def selected_columns(df: DataFrame, candidates: list[str], drop: tuple[str, ...] = ()) -> tuple[list[str], dict[str, str]]:
+    """(columns that can teach a model, why each other one can't): dropped by name, not there, without a value, or constant. One aggregation looks at all."""
+    reasons = {c: "in drop set" if c in drop else "not in dataset" for c in candidates if c in drop or c not in df.columns}
+    rest = [c for c in candidates if c not in reasons]
+    if not rest:
+        return [], reasons
+    value = lambda c: F.when(~F.isnan(c), F.col(c)) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
+    seen = df.agg(*[F.struct(F.count(value(c)).alias("n"), (F.min(value(c)) == F.max(value(c))).alias("same")).alias(f"c{i}") for i, c in enumerate(rest)]).first()
+    for c, x in zip(rest, seen, strict=True):
+        if not x.n:
+            reasons[c] = "all NaN"
+        elif x.same:
+            reasons[c] = "constant (nunique=1)"
+    return [c for c in rest if c not in reasons], reasons
+
+
+def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ("pm25", "pm10", "o3", "no2", "so2", "co", "aqi", "timestamp", "station", "outlier_flags", "weather_outlier_flags")) -> list[str]:
+    """Numeric columns that are no targets and no metadata."""
+    return [f.name for f in df.schema if f.name not in exclude and f.dataType.typeName() in ("double", "float", "long", "integer")]
 
 
 def lookback_spans(df: DataFrame, keys: list[str], ts: str, spans_days: tuple[int, ...] = (10, 30, 120), least: int = 4) -> DataFrame:
@@ -76,11 +106,15 @@ def serving_rows(readings: DataFrame, weather: DataFrame, spans_days: tuple[int,
     return out.select("station", "hour", target, *[f"{target}_lag{k}" for k in (1, 3, 6)], *[f"{target}_mean{k}" for k in (6, 24)], *value_columns, F.col("__n").alias("pollution_rows_in_window"), F.coalesce("weather_rows_in_window", F.lit(0)).cast("long").alias("weather_rows_in_window"), "span_days")
 
 
-def newest_run(forecasts: DataFrame, keys: list[str], created: str) -> DataFrame:
-    """The rows of each key's newest run; if that run has a single row, all rows of the key."""
-    runs = forecasts.groupBy(*keys, created).agg(F.count(F.lit(1)).alias("__n"))
-    newest = runs.groupBy(*keys).agg(F.max(F.struct(F.col(created).alias("c"), F.col("__n").alias("n"))).alias("__run"))
-    return forecasts.join(newest, keys).where((F.col(created) == F.col("__run.c")) | (F.col("__run.n") == 1)).select(forecasts.columns)
+def newest_run(forecasts: DataFrame, keys: list[str], created: str, order: list[str] | None = None, most: int = 24) -> DataFrame:
+    """The rows of each key's newest run among its ``most`` newest rows (by creation, then ``order``); if that run has a single row, all of these."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(created), *(order or []))
+    rows = forecasts.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most)
+    # The window of a key's kept rows: at most ``most``.
+    own = Window.partitionBy(*keys)
+    rows = rows.withColumn("__newest", F.max(created).over(own))
+    rows = rows.withColumn("__n", F.count_if(F.col(created) == F.col("__newest")).over(own))
+    return rows.where((F.col(created) == F.col("__newest")) | (F.col("__n") == 1)).select(forecasts.columns)
 
 
 def replaced(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,3 +154,56 @@ def brightness(i4: Column, t31: Column) -> Column:
 def winter(ts: Column) -> Column:
     """Whether a time lies in the winter season, October to February."""
     return F.month(ts).isin(10, 11, 12, 1, 2)
+
+
+#: Short names of monitors, in small letters, and what their stations are called.
+STATION_NAMES = {
+    "imd lodhi road": "Lodhi Road", "lodhi road": "Lodhi Road", "r k puram": "RK Puram", "rk puram": "RK Puram", "dwarka-sector 8": "Dwarka", "dwarka": "Dwarka", "punjabi bagh": "Punjabi Bagh", "anand vihar": "Anand Vihar", "ito": "ITO", "sirifort": "Sirifort",
+    "shadipur": "Shadipur", "okhla phase-2": "Okhla Phase-2", "ashok vihar": "Ashok Vihar", "mundka": "Mundka", "jahangirpuri": "Jahangirpuri", "aya nagar": "Aya Nagar", "vivek vihar": "Vivek Vihar", "teri gram": "Teri Gram", "vikas sadan": "Teri Gram", "sector - 62": "Noida Sector-62",
+    "sector-62": "Noida Sector-62", "sector 62": "Noida Sector-62", "noida sector-62": "Noida Sector-62", "sector 11": "Faridabad", "faridabad": "Faridabad",
+}
+#: Names of the yearly files that differ from the stations', agencies behind a name, and what marks rows that no feed measured.
+FILE_NAMES = {"sector 11": "Faridabad", "sector 62": "Noida Sector-62", "sector - 62": "Noida Sector-62", "teri gram": "Teri Gram"}
+AGENCIES = ("DPCC", "CPCB", "HSPCB", "UPPCB", "IMD")
+DEMO_SOURCES = ("demo", "bundled", "synthetic", "bootstrap")
+
+
+def looked_up(name: Column, names: dict[str, str]) -> Column:
+    """A name's entry by its small letters without outer spaces, else the name as it is."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(name))), name)
+
+
+def canonical_station(short: Column) -> Column:
+    """The station of a monitor's short name; unknown ones stay."""
+    return looked_up(short, STATION_NAMES)
+
+
+def station_of_file(name: Column) -> Column:
+    """The station of a name with city and agency: what stands before the first agency and the first comma."""
+    agencies = "|".join(AGENCIES)
+    short = F.regexp_replace(name, f"(?s) ?- ({agencies}).*$", "")
+    return looked_up(F.trim(F.substring_index(short, ",", 1)), FILE_NAMES)
+
+
+def demo_row(re_stamped: Column, source: Column) -> Column:
+    """Whether a row is no measurement of its own: stamped anew, or from a source of made-up rows."""
+    return F.coalesce(re_stamped, F.lit(False)) | F.coalesce(F.lower(source).rlike(f"^({'|'.join(DEMO_SOURCES)})"), F.lit(False))
+
+
+def evolved(stored: DataFrame, fresh: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    """Stored and fresh rows with the columns of both, one row per key: that of the largest ``newest``.
+
+    Columns that only one side has are null in the other's rows; a column that both have with different types is
+    refused, as that is no addition. Rows whose key has a null stay, each.
+    """
+    for c in stored.columns:
+        if c in fresh.columns and stored.schema[c].dataType != fresh.schema[c].dataType:
+            raise ValueError(f"column {c} is {stored.schema[c].dataType.simpleString()} in the table and {fresh.schema[c].dataType.simpleString()} in the new rows")
+    rows = stored.unionByName(fresh, allowMissingColumns=True)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    rest = [c for c in rows.columns if c not in (*keys, newest)]
+    last = rows.where(whole).groupBy(*keys).agg(F.max(F.struct(newest, *rest)).alias("x")).select(*keys, "x.*")
+    return last.select(rows.columns).unionByName(rows.where(~whole))

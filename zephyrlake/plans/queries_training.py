@@ -59,9 +59,9 @@ def forecast_rows(spark, sf):
     return rows.select("station", F.date_trunc("day", "hour").cast("timestamp_ntz").alias("created_at"), (F.hour("hour") + 1).cast("int").alias("horizon"), F.col("pm25").alias("predicted"))
 
 
-@query(v.with_views("panel", more=f"{RUNS}, n AS (SELECT *, max(created_at) OVER (PARTITION BY station) AS newest FROM fr), k AS (SELECT *, count(*) FILTER (WHERE created_at = newest) OVER (PARTITION BY station) AS size FROM n)") + "SELECT station, created_at, horizon, predicted FROM k WHERE created_at = newest OR size = 1")
+@query(v.with_views("panel", more=f"{RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY created_at DESC, horizon) AS k FROM fr), n AS (SELECT *, max(created_at) OVER (PARTITION BY station) AS newest FROM r WHERE k <= 24), k AS (SELECT *, count(*) FILTER (WHERE created_at = newest) OVER (PARTITION BY station) AS size FROM n)") + "SELECT station, created_at, horizon, predicted FROM k WHERE created_at = newest OR size = 1")
 def newest_run(spark, sf):
-    return training.newest_run(forecast_rows(spark, sf), ["station"], "created_at")
+    return training.newest_run(forecast_rows(spark, sf), ["station"], "created_at", ["horizon"])
 
 
 @query(v.with_views("panel", more=f"{RUNS}, fresh AS (SELECT station, created_at, horizon, predicted + 1 AS predicted FROM fr WHERE horizon = 9 AND station < 3)") + "SELECT * FROM fr WHERE (station, horizon) NOT IN (SELECT station, horizon FROM fresh) UNION ALL SELECT * FROM fresh")
