@@ -100,7 +100,8 @@ def with_paths(rows: DataFrame) -> DataFrame:
 
 def with_sequences(trees: DataFrame, most: int) -> DataFrame:
     """Adds sequence to distinct conversations: the tree's name, or that of a range of the children of the deepest node that holds too much."""
-    heavy = trees.select(F.explode("path").alias("at"), "chars").groupBy("at").agg(F.sum("chars").alias("held")).where(F.col("held") > most)
+    # Cut off, so that the join deals both sides anew and a node that many conversations pass can be split between tasks.
+    heavy = cut(trees.select(F.explode("path").alias("at"), "chars").groupBy("at").agg(F.sum("chars").alias("held")).where(F.col("held") > most))
     at = trees.select("leaf", F.posexplode("path").alias("depth", "at")).join(heavy, "at")
     deepest = at.groupBy("leaf").agg(F.max(F.struct("depth", "held", "at")).alias("heavy"))
     rows = trees.join(deepest, "leaf", "left")
