@@ -22,3 +22,25 @@ def test_ranges_hold_few_rows_under_low_weights(spark):
     assert largest < 60
     mix = mixing.mixed(rows, weight=F.lit(0.05))
     assert mix.agg(F.sum("taken")).first()[0] == 40_000
+
+
+def test_likenesses_are_those_of_the_prints(spark):
+    """Of every row of a table the likenesses are the Jaccard of the printed fingerprints."""
+    import os
+
+    import pytest
+
+    from zephyrlake.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    rows = {x.doc_id: x for x in queries.op6_fingerprints(spark, sf).collect()}
+    order = sorted(rows, reverse=True)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    of = lambda text: set(text.split())
+    for i, d in enumerate(order):
+        x, after = rows[d], rows[order[(i + 1) % len(order)]]
+        assert abs(x.near_edited - jaccard(of(x.fingerprint), of(x.edited_fingerprint))) < 1e-12
+        assert abs(x.near_next - jaccard(of(x.fingerprint), of(after.fingerprint))) < 1e-12
+    assert sum(x.near_edited > x.near_next for x in rows.values()) > 0.95 * len(rows)

@@ -20,7 +20,9 @@ ANCHORS = (
     "al como con cuando del donde el ella entre era esta este ha hay las lo los más me mi muy no para pero por se ser si sin sobre su sus también te una y ya"
 )
 CHAIN = 2
-#: With fewer signatures than this, a text is told by its runs of four characters as well; so are two texts that are compared, if either has fewer.
+#: Every fingerprint holds so many least hashes of the text's words beside its signatures, so that texts with few common words are told apart as well.
+LEAST = 64
+#: In near_pairs, a text with fewer signatures than this is told by its runs of four characters as well.
 FEW = 4
 MARK = "\u0001"
 
@@ -44,8 +46,8 @@ def trie(words: list[str]) -> str:
     return pattern(root)
 
 
-def with_signatures(rows: DataFrame, columns: dict[str, str], chain: int = CHAIN) -> DataFrame:
-    """Adds for each (name, text column) the sorted, distinct 32-bit signatures of the whole text (null: empty).
+def with_signatures(rows: DataFrame, columns: dict[str, str], chain: int = CHAIN, least: int = 0) -> DataFrame:
+    """Adds for each (name, text column) the sorted, distinct 32-bit signatures of the whole text (null: empty), with its ``least`` smallest hashes of words.
 
     The steps are columns of their own, so that none is worked out twice.
     """
@@ -58,7 +60,10 @@ def with_signatures(rows: DataFrame, columns: dict[str, str], chain: int = CHAIN
         marked = F.regexp_replace(marked, rf"( {MARK}[^ ]++)(?:\1(?= |$))++", "$1")
         rows = rows.withColumn("__marked", marked).withColumn("__spots", F.regexp_extract_all("__marked", F.lit(spot), F.lit(1)))
         hashes = F.transform("__spots", lambda s: F.hash(F.regexp_replace(s, rf" {MARK}[^ ]++", "")))
-        rows = rows.withColumn(name, F.array_sort(F.array_distinct(hashes))).drop("__marked", "__spots")
+        if least:
+            words = F.transform(F.filter(F.array_distinct(F.split(F.regexp_replace("__marked", MARK, ""), " ")), lambda w: w != ""), lambda w: F.hash(w))
+            hashes = F.concat(hashes, F.slice(F.sort_array(words), 1, least))
+        rows = rows.withColumn(name, F.sort_array(F.array_distinct(hashes))).drop("__marked", "__spots")
     return rows
 
 
@@ -75,15 +80,10 @@ def with_runs(signatures: Column, text: Column) -> Column:
 
 
 def print_of(signatures: Column, text: Column) -> Column:
-    """What a text's own fingerprint holds."""
+    """What near_pairs compares of a text."""
     return F.when(few(signatures), with_runs(signatures, text)).otherwise(signatures)
 
 
-def compared(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
-    """Likeness of two texts by one kind of features for both: signatures, with runs of characters if either has few."""
-    return F.when(few(a) | few(b), likeness(with_runs(a, text_a), with_runs(b, text_b))).otherwise(likeness(a, b))
-
-
 def fingerprint(signatures: Column) -> Column:
     """A printable fingerprint: the signatures in order; empty for a text without words."""
     return F.array_join(signatures.cast("array<string>"), " ")
@@ -147,18 +147,19 @@ def edited_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """doc_id, text, edited, the prints own, changed (of edited), next_own (of the next document), and the likenesses near_edited and near_next (to the next document).
 
     edited is the text whose last third of characters is replaced by as many first ones of the next document,
-    in descending doc_id and after the last the first. Null texts are empty; repeated rows stay.
+    in descending doc_id and after the last the first. A print holds signatures and the least hashes of words, of every
+    text alike; the likenesses are those of the prints told. Null texts are empty; repeated rows stay.
     """
 
     def derive(rows: DataFrame) -> DataFrame:
         third = F.floor(F.length("text") / 3).cast("int")
         edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
-        return with_signatures(rows.withColumn("edited", edited), {"own": "text"}, chain)
+        return with_signatures(rows.withColumn("edited", edited), {"own": "text"}, chain, LEAST)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_signatures(with_next(rows, ["text"], derive, ("own",)), {"changed": "edited"}, chain)
-    own, changed, after, text, edited = (F.col(x) for x in ("own", "changed", "next_own", "text", "edited"))
-    return rows.select("doc_id", "text", "edited", print_of(own, text).alias("own"), print_of(changed, edited).alias("changed"), print_of(after, F.col("next_text")).alias("next_own"), compared(own, changed, text, edited).alias("near_edited"), compared(own, after, text, F.col("next_text")).alias("near_next"))
+    rows = with_signatures(with_next(rows, ["text"], derive, ("own",)), {"changed": "edited"}, chain, LEAST)
+    own, changed, after = (F.col(x) for x in ("own", "changed", "next_own"))
+    return rows.select("doc_id", "text", "edited", "own", "changed", "next_own", likeness(own, changed).alias("near_edited"), likeness(own, after).alias("near_next"))
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:
