@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zephyrlake.functions import met
 from zephyrlake.functions.basic import clip
+from zephyrlake.operators import fire, series
+from zephyrlake.operators.clean import hour_deduped, iqr_flags
 from zephyrlake.operators.series import micros
 
 
@@ -38,6 +43,35 @@ def train_stats(df: DataFrame, keys: list[str], ts: str, columns: list[str], spl
     return each.select("x.feature", "x.s.n", "x.s.mean", F.when(deviation == 0, 1.0).otherwise(deviation).alias("deviation"), "x.s.median")
 
 
+WEATHER = ("temperature", "humidity", "wind_speed", "wind_direction", "pbl_height")
+
+
+def training_table(readings: DataFrame, weather: DataFrame, stations: DataFrame, fires: DataFrame, target: str = "pm25", plausible: tuple[float, float] = (0, 1000), lags: tuple[int, ...] = (1, 3, 6, 12, 24), widths: tuple[int, ...] = (3, 6, 12, 24), fill_hours: int = 3, fire_hours: float = 24.0, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
+    """The whole table that a model of ``target`` is trained on, from raw readings to the split: one row per station and hour with a plausible target.
+
+    readings: (station, ts, target), weather: (station, ts, and those of WEATHER that it has), stations: (station, slat,
+    slon), fires: (lat, lon, frp, acq). Of several rows of a station and hour the latest counts. Weather joins the hours of
+    readings and is carried on for up to ``fill_hours`` rows; then rows whose target lies outside (low, high] go. Lags and
+    trailing statistics never see the current target. Outliers beyond three quartile distances are flagged, not removed.
+    The split is in time, without gaps, rows of an hour ordered by station.
+    """
+    values = [c for c in WEATHER if c in weather.columns]
+    hourly = lambda df, columns: hour_deduped(df.select("station", "ts", *columns), ["station"], "ts", columns).drop("ts")
+    rows = hourly(readings, [target]).join(hourly(weather, values), ["station", "hour"], "left")
+    rows = series.forward_filled(rows, ["station"], "hour", values, fill_hours)
+    rows = rows.where((F.col(target) > plausible[0]) & (F.col(target) <= plausible[1]))
+    rows = rows.select("station", "hour", target, *[F.col(c) if c in values else F.lit(None).cast("double").alias(c) for c in WEATHER])
+    h, pbl = F.hour("hour"), F.col("pbl_height")
+    rows = rows.withColumns({
+        "ventilation_norm": clip(F.col("wind_speed") * pbl / 6000.0, 0, 1), "inversion_detected": F.coalesce(pbl < 500, F.lit(False)), "inversion_strength": F.coalesce(clip((500.0 - pbl) / 500.0, 0, 1), F.lit(0.0)), "inversion_category": met.proxy_category(pbl),
+        "wind_dir_sin": F.sin(F.radians(F.coalesce("wind_direction", F.lit(0.0)))), "wind_dir_cos": F.cos(F.radians(F.coalesce("wind_direction", F.lit(0.0)))), "hour_sin": F.sin(2 * math.pi * h / 24.0), "hour_cos": F.cos(2 * math.pi * h / 24.0), "day_of_week": F.weekday("hour"), "is_weekend": F.weekday("hour").isin(5, 6),
+    })
+    rows = fire.trailing_fires(rows.withColumnRenamed("hour", "ts"), fires, stations, fire_hours).withColumnRenamed("ts", "hour")
+    rows = series.trailing_stats(series.lags(rows, ["station"], "hour", target, list(lags)), ["station"], "hour", target, list(widths))
+    rows = iqr_flags(rows, [target], 3.0)
+    return series.chronological_split(rows, "hour", ["station"], shares)
+
+
 def standardised(df: DataFrame, stats: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
     """Columns filled from the past of their key, else with the training median (0 where there is none), then as deviations from the training mean."""
     one = stats.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "deviation", "median")))).alias("__s"))  # one row per feature

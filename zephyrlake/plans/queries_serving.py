@@ -9,6 +9,7 @@ from zephyrlake.operators import scoring, training
 from zephyrlake.plans import sqlparts as q
 from zephyrlake.plans import views as v
 from zephyrlake.plans.queries_domain import FACTOR
+from zephyrlake.plans.queries_table import NEAR
 from zephyrlake.plans.queries_training import PW, SPLIT, panel_weather
 
 QUERIES, SQL = {}, {}
@@ -87,6 +88,25 @@ def look_ahead(spark, sf):
 # ---- before training
 
 
+FILL = ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY station ORDER BY hour ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS {c}" for c in training.WEATHER)
+TABLE = (
+    "rd AS (SELECT station, hour, v AS pm25 FROM (SELECT station, date_trunc('hour', ts) AS hour, v, row_number() OVER (PARTITION BY station, date_trunc('hour', ts) ORDER BY ts DESC, v DESC) AS k FROM obs WHERE pollutant = 'pm25') WHERE k = 1), wx AS (SELECT * FROM weather WHERE hour(ts) % 8 < 3), "
+    f"jo AS (SELECT rd.*, {', '.join(training.WEATHER)} FROM rd LEFT JOIN wx ON wx.station = rd.station AND wx.ts = rd.hour), fl AS (SELECT station, hour, pm25, {FILL} FROM jo), tt AS (SELECT * FROM fl WHERE pm25 > 0 AND pm25 <= 200), "
+    "fc AS (SELECT t.station, t.hour, count(n.fire_id) AS fire_count, CAST(round_even(min(n.km), 2) AS DOUBLE) AS near FROM tt t LEFT JOIN near n ON n.station = t.station AND n.km <= 500 AND n.acq BETWEEN t.hour - INTERVAL 24 HOUR AND t.hour GROUP BY 1, 2), qu AS (SELECT quantile_cont(pm25, 0.25) AS a, quantile_cont(pm25, 0.75) AS b FROM tt), nn AS (SELECT *, row_number() OVER (ORDER BY hour, station) AS k, count(*) OVER () AS n FROM tt)"
+)
+
+
+@query(v.with_views("obs", "weather", "fires", "stations5", more=f"{NEAR}, {TABLE}") + "SELECT t.station, t.hour, t.pm25, t.wind_speed, t.pbl_height, round(CASE WHEN t.wind_speed IS NULL OR t.pbl_height IS NULL THEN NULL ELSE greatest(0.0, least(1.0, t.wind_speed * t.pbl_height / 6000.0)) END, 6) AS ventilation_norm, coalesce(t.pbl_height < 500, false) AS inversion_detected, round(CASE WHEN t.pbl_height IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (500.0 - t.pbl_height) / 500.0)) END, 6) AS inversion_strength, round(cos(radians(coalesce(t.wind_direction, 0.0))), 6) AS wind_dir_cos, dayofweek(t.hour) IN (0, 6) AS is_weekend, fc.fire_count, coalesce(fc.near, 501.0) AS nearest_fire, lag(t.pm25, 1) OVER s AS pm25_lag1, lag(t.pm25, 24) OVER s AS pm25_lag24, round(avg(t.pm25) OVER (PARTITION BY t.station ORDER BY t.hour ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 6) AS pm25_mean6, round(stddev_samp(t.pm25) OVER (PARTITION BY t.station ORDER BY t.hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 4) AS pm25_std24, (t.pm25 < a - 3 * (b - a) OR t.pm25 > b + 3 * (b - a)) AS outlier, CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * CAST(0.85 AS DOUBLE), 0) THEN 'validation' ELSE 'test' END AS split FROM nn t JOIN fc ON fc.station = t.station AND fc.hour = t.hour, qu WINDOW s AS (PARTITION BY t.station ORDER BY t.hour)")
+def training_table(spark, sf):
+    readings = v.obs(spark, sf).where("pollutant = 'pm25'").select("station", "ts", F.col("v").alias("pm25"))
+    rows = training.training_table(readings, v.weather(spark, sf).where("hour(ts) % 8 < 3"), v.stations(spark), v.fires(spark, sf), plausible=(0, 200))
+    six = ("ventilation_norm", "inversion_strength", "wind_dir_cos", "pm25_mean6")
+    return rows.select(
+        "station", "hour", "pm25", "wind_speed", "pbl_height", "inversion_detected", "is_weekend", "fire_count", F.col("nearest_fire_distance").alias("nearest_fire"), "pm25_lag1", "pm25_lag24",
+        *[F.round(c, 6).alias(c) for c in six], F.round("pm25_std24", 4).alias("pm25_std24"), F.col("pm25_iqr_outlier").alias("outlier"), "split",
+    )
+
+
 @query(v.with_views("panel", more=f"{SPLIT}, f AS (SELECT station, hour, split, last_value(pm25 IGNORE NULLS) OVER w AS pm25, last_value(no2 IGNORE NULLS) OVER w AS no2 FROM s WINDOW w AS (PARTITION BY station ORDER BY hour ROWS UNBOUNDED PRECEDING)), t AS (SELECT median(pm25) AS mp, avg(pm25) AS ap, stddev_pop(pm25) AS dp, median(no2) AS mn, avg(no2) AS an, stddev_pop(no2) AS dn FROM f WHERE split = 'train')") + "SELECT station, hour, split, round((coalesce(pm25, mp) - ap) / dp, 6) AS pm25, round((coalesce(no2, mn) - an) / dn, 6) AS no2 FROM f, t")
 def standardised_rows(spark, sf):
     rows = training.split_by_span(v.panel(spark, sf), "hour").select("station", "hour", "split", "pm25", "no2")
