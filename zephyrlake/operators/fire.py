@@ -26,14 +26,15 @@ def with_cells(stations: DataFrame, max_km: float) -> DataFrame:
     return rows.withColumn("__cell", F.concat_ws(":", F.col("__i").cast("string"), F.col("__j").cast("string"))).drop("__i", "__j")
 
 
-def near_fires(fires: DataFrame, stations: DataFrame, max_km: float = MAX_KM) -> DataFrame:
+def near_fires(fires: DataFrame, stations: DataFrame, max_km: float = MAX_KM, keys: tuple[str, ...] = ()) -> DataFrame:
     """(station, fire columns, km, bearing) for fires within reach of a station.
 
     stations: (station, slat, slon). Both sides are dealt to cells of five degrees, stations to all cells that
-    their reach can touch, so that only neighbours meet.
+    their reach can touch, so that only neighbours meet. keys: columns of both sides that have to be equal as well, such
+    as a bucket of time; distances are worked out for what meets.
     """
-    homes = with_cells(stations.select("station", "slat", "slon"), max_km)
-    rows = fires.withColumn("__cell", cell_of(F.col("lat"), F.col("lon"))).join(homes, "__cell").drop("__cell")
+    homes = with_cells(stations.select("station", "slat", "slon", *keys), max_km)
+    rows = fires.withColumn("__cell", cell_of(F.col("lat"), F.col("lon"))).join(homes, ["__cell", *keys]).drop("__cell")
     rows = rows.withColumn("km", geo.haversine(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= max_km)
     return rows.withColumn("bearing", geo.bearing(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))).drop("slat", "slon")
 
@@ -67,14 +68,17 @@ def without_fires(df: DataFrame, max_km: float = MAX_KM) -> DataFrame:
 def trailing_fires(panel: DataFrame, fires: DataFrame, stations: DataFrame, hours: float = 24.0, max_km: float = MAX_KM, after_hours: float = 0.0) -> DataFrame:
     """Panel rows (station, ts, wind_speed, wind_direction) with the measures of fires in [ts - hours, ts + after] within reach.
 
-    Distances are worked out once per station and fire; time meets in buckets as wide as the window, each panel
-    row in the two or three it touches, so the join is on equal keys.
+    Time goes in buckets as wide as the window, each panel row in the two or three it touches. Fires meet stations by
+    cell and bucket, only in buckets that the station has rows for; each such pair gets its distance once, and what is
+    within reach meets the rows by station and bucket. All joins are on equal keys.
     """
     width = 3600.0 * (hours + after_hours)
-    near = near_fires(fires, stations, max_km).withColumn("__t", seconds("acq")).withColumn("__bucket", F.floor(F.col("__t") / width))
     at = seconds("ts")
     touched = F.sequence(F.floor((at - 3600 * hours) / width), F.floor((at + 3600 * after_hours) / width))
     rows = panel.select("station", "ts", "wind_speed", "wind_direction").withColumn("__at", at).withColumn("__bucket", F.explode(touched))
+    awake = rows.select("station", "__bucket").distinct().join(stations, "station")
+    timed = fires.withColumn("__t", seconds("acq")).withColumn("__bucket", F.floor(F.col("__t") / width))
+    near = near_fires(timed, awake, max_km, ("__bucket",))
     hit = rows.join(near.select("station", "__bucket", "__t", "km", "bearing", "frp"), ["station", "__bucket"]).where((F.col("__t") >= F.col("__at") - 3600 * hours) & (F.col("__t") <= F.col("__at") + 3600 * after_hours))
     return without_fires(panel.join(measures(hit, ["station", "ts"], max_km), ["station", "ts"], "left"), max_km)
 

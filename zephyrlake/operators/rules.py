@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zephyrlake.functions import met
 from zephyrlake.functions.basic import clip
-from zephyrlake.operators.series import predicate_runs, seconds
+from zephyrlake.operators.series import runs_of_kinds, seconds
 
 #: Alert levels by severity, and limits of the event rules.
 SEVERITY = {"SEVERE": 4, "WARNING": 3, "ADVISORY": 2, "WATCH": 1}
@@ -76,15 +76,11 @@ def events(series: DataFrame, baseline: DataFrame, atmosphere: DataFrame) -> Dat
         (F.coalesce(vent >= 6000, F.lit(False)) | F.coalesce((F.col("pbl_height") >= 300) & (F.col("wind_speed") >= 2), F.lit(False))).alias("disperses"),
     )
 
-    def best(holds: Column, order: Column, kind: str, least: int = 1) -> DataFrame:
-        found = predicate_runs(points.withColumn("__holds", holds), ["station"], "ts", F.col("__holds"), "pm25").where(F.col("n") >= least)
-        w = Window.partitionBy("station").orderBy(order, "start_ts")
-        return found.withColumn("__k", F.row_number().over(w)).where("__k = 1").withColumn("event_type", F.lit(kind)).drop("__k")
-
-    surge = best(known & (F.col("pm25") >= limit), F.desc("peak"), "pollution_surge")
-    relief = best(known & (F.col("pm25") <= F.col("baseline") * (1 - RELIEF_PCT / 100)), F.asc("trough"), "pollution_relief")
-    episode = best(F.col("pm25") >= VERY_POOR, F.desc("peak"), "high_risk_episode", SUSTAINED_H)
-    rows = surge.unionByName(relief).unionByName(episode).join(baseline, "station", "left").join(air, "station", "left")
+    holds = {"pollution_surge": known & (F.col("pm25") >= limit), "pollution_relief": known & (F.col("pm25") <= F.col("baseline") * (1 - RELIEF_PCT / 100)), "high_risk_episode": F.col("pm25") >= VERY_POOR}
+    found = runs_of_kinds(points, ["station"], "ts", holds, "pm25").withColumnRenamed("kind", "event_type")
+    found = found.where((F.col("event_type") != "high_risk_episode") | (F.col("n") >= SUSTAINED_H))
+    w = Window.partitionBy("station", "event_type").orderBy(F.when(F.col("event_type") == "pollution_relief", F.col("trough")).otherwise(-F.col("peak")), "start_ts")
+    rows = found.withColumn("__k", F.row_number().over(w)).where("__k = 1").join(baseline, "station", "left").join(air, "station", "left")
     drop = (F.col("baseline") - F.col("trough")) / F.col("baseline") * 100
     kind = F.col("event_type")
     rows = rows.where((kind == "pollution_surge") | ((kind == "pollution_relief") & (F.col("disperses") | (drop >= WASHOUT_PCT))) | ((kind == "high_risk_episode") & (F.col("active_factors") > 0)))

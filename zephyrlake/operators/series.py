@@ -81,19 +81,30 @@ def runs(df: DataFrame, keys: list[str], ts: str, gap_hours: float) -> DataFrame
     return df.withColumn("__new", F.coalesce((gap > gap_hours).cast("int"), F.lit(1))).withColumn("run_id", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def predicate_runs(df: DataFrame, keys: list[str], ts: str, holds: Column, value: str, gap_hours: float = 1.0) -> DataFrame:
-    """One row per run of rows for which ``holds``, broken by other rows and by gaps: start, end, n, peak, peak_ts, trough, trough_ts, open (it reaches the series' last row)."""
+def runs_of_kinds(df: DataFrame, keys: list[str], ts: str, holds: dict[str, Column], value: str, gap_hours: float = 1.0) -> DataFrame:
+    """One row per kind and run of rows for which the kind's predicate holds, broken by other rows and by gaps: kind, start, end, n, peak, peak_ts, trough, trough_ts, open (it reaches the series' last row).
+
+    All predicates are followed over one sorted series; only rows for which one holds go on from there.
+    """
     w = ordered(keys, ts)
-    rows = df.withColumn("__on", F.coalesce(holds, F.lit(False)))
+    on = {k: f"__on{i}" for i, k in enumerate(holds)}
+    rows = df.withColumns({on[k]: F.coalesce(x, F.lit(False)) for k, x in holds.items()})
     gap = (seconds(ts) - F.lag(seconds(ts)).over(w)) / 3600.0
-    rows = rows.withColumn("__break", F.coalesce(~F.lag("__on").over(w) | (gap > gap_hours), F.lit(True)).cast("int"))
-    rows = rows.withColumn("__last", F.lead(ts).over(w).isNull())
-    rows = rows.withColumn("__run", F.sum(F.when(F.col("__on"), F.col("__break")).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.where("__on").groupBy(*keys, "__run").agg(
+    breaks = {f"__break{i}": F.coalesce(~F.lag(c).over(w) | (gap > gap_hours), F.lit(True)).cast("int") for i, c in enumerate(on.values())}
+    rows = rows.withColumns({**breaks, "__last": F.lead(ts).over(w).isNull()})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__run{i}": F.sum(F.when(F.col(c), F.col(f"__break{i}")).otherwise(0)).over(upto) for i, c in enumerate(on.values())})
+    each = F.array(*[F.when(F.col(c), F.struct(F.lit(k).alias("kind"), F.col(f"__run{i}").alias("run_id"))) for i, (k, c) in enumerate(on.items())])
+    rows = rows.select(*keys, ts, value, "__last", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("__x"))
+    return rows.groupBy(*keys, F.col("__x.kind").alias("kind"), F.col("__x.run_id").alias("run_id")).agg(
         F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n"), F.max(value).alias("peak"), F.min(value).alias("trough"),
         F.min_by(ts, F.struct(-F.col(value), F.col(ts))).alias("peak_ts"), F.min_by(ts, F.struct(F.col(value), F.col(ts))).alias("trough_ts"), F.bool_or("__last").alias("open"),
     )
-    return out.withColumnRenamed("__run", "run_id")
+
+
+def predicate_runs(df: DataFrame, keys: list[str], ts: str, holds: Column, value: str, gap_hours: float = 1.0) -> DataFrame:
+    """The runs of one predicate."""
+    return runs_of_kinds(df, keys, ts, {"": holds}, value, gap_hours).drop("kind")
 
 
 def current_episode(df: DataFrame, keys: list[str], ts: str, detected: str, gap_hours: float = 3.0, window_hours: int = 24) -> DataFrame:
