@@ -75,14 +75,14 @@ NOW += f"c1 AS (SELECT *, CASE WHEN vent IS NOT NULL THEN {q.clip(f'0.5 * vent +
 NOW += f"c2 AS (SELECT *, CASE WHEN disp IS NOT NULL THEN (1 - disp + stag + ozone) / 3 ELSE ozone END AS whole FROM c1)"
 
 
-@query(v.with_views("panel", "weather", more=NOW) + "SELECT station, CAST(k AS INT) AS horizon, target_ts, ts AS weather_ts, wind_speed, temperature, round(inv, 6) AS inversion, CASE WHEN ts IS NULL THEN NULL WHEN pbl_height < 150 THEN 'strong' WHEN pbl_height < 300 THEN 'moderate' WHEN pbl_height < 500 THEN 'weak' ELSE 'none' END AS inversion_category, round(disp, 6) AS dispersion_potential, round(stag, 6) AS pollution_stagnation_index, round(ozone, 6) AS ozone_photochemical_potential, round(whole, 6) AS meteorology_pollution_interaction, CASE WHEN whole >= 0.66 THEN 'HIGH' WHEN whole >= 0.33 THEN 'MODERATE' ELSE 'LOW' END AS coupling_state, CASE WHEN ts IS NULL THEN 'feedback+ozone' ELSE 'aerosol+atmospheric+feedback+fire+ozone' END AS coupling_domains, CASE WHEN ts IS NULL THEN 'SPARSE' ELSE 'PARTIAL' END AS data_quality FROM c2")
+@query(v.with_views("panel", "weather", more=NOW) + "SELECT station, CAST(k AS INT) AS horizon, target_ts, ts AS weather_ts, wind_speed, temperature, inv AS inversion, CASE WHEN ts IS NULL THEN NULL WHEN pbl_height < 150 THEN 'strong' WHEN pbl_height < 300 THEN 'moderate' WHEN pbl_height < 500 THEN 'weak' ELSE 'none' END AS inversion_category, disp AS dispersion_potential, stag AS pollution_stagnation_index, ozone AS ozone_photochemical_potential, whole AS meteorology_pollution_interaction, CASE WHEN whole >= 0.66 THEN 'HIGH' WHEN whole >= 0.33 THEN 'MODERATE' ELSE 'LOW' END AS coupling_state, CASE WHEN ts IS NULL THEN 'feedback+ozone' ELSE 'aerosol+atmospheric+feedback+fire+ozone' END AS coupling_domains, CASE WHEN ts IS NULL THEN 'SPARSE' ELSE 'PARTIAL' END AS data_quality FROM c2")
 def look_ahead(spark, sf):
     rows = v.panel(spark, sf).where("no2 is not null and pm25 is not null")
     last = rows.groupBy("station").agg(F.max(F.struct("hour", "pm25", "no2")).alias("x"))
     now = last.select("station", (F.col("x.hour") - F.expr("INTERVAL 40 HOURS") + F.expr("INTERVAL 25 MINUTES")).alias("now"), "x.pm25", "x.no2", F.lit(90.0).alias("wind_direction"))
     out = scoring.look_ahead(now, v.weather(spark, sf))
     six = ("inversion", "dispersion_potential", "pollution_stagnation_index", "ozone_photochemical_potential", "meteorology_pollution_interaction")
-    return out.select("station", "horizon", "target_ts", "weather_ts", "wind_speed", "temperature", "inversion_category", *[F.round(c, 6).alias(c) for c in six], "coupling_state", "coupling_domains", "data_quality")
+    return out.select("station", "horizon", "target_ts", "weather_ts", "wind_speed", "temperature", "inversion_category", *six, "coupling_state", "coupling_domains", "data_quality")
 
 
 # ---- before training
