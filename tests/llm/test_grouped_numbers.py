@@ -13,3 +13,11 @@ def test_contexts_of_grouped_numbers(spark):
     got = {x.doc_id: x.f for x in pii.personal_data(df).select("doc_id", pii.written(F.col("found")).alias("f")).collect()}
     want = {d: "" for d, _ in rows} | {d: f"{k}:{t.index(s)}:{t.index(s) + len(s)}" if s else "" for d, (t, s, k) in unseen.items()}
     assert got == want
+
+
+def test_found_strings_are_seeds_of_further_contexts(spark):
+    """Strings found behind one context teach another, behind which no base span stands."""
+    texts = [f"mail address u{i}@site{i}.org" for i in range(12)] + [f"mail address bob{i}@intranet" for i in range(6)] + [f"contact handle bob{i}@intranet" for i in range(6)] + [f"contact handle new{i}@intranet" for i in range(3)] + [f"the road to x{i}@nowhere" for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = lambda rounds: {x.doc_id for x in pii.personal_data(df, rounds=rounds).where(F.size("found") > 0).collect()}
+    assert n(1) == set(range(12, 18)) and n(3) == set(range(12, 27))

@@ -85,24 +85,32 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("mentions", F.filter(named, lambda m: (F.length(m["instance"]) >= LEAST_CHARS) & (m["left"] != ""))).drop("__found")
 
 
+def fits(kind: Column, instance: Column) -> Column:
+    """Whether a string can be an identifier of a kind."""
+    return F.when(kind == "email", instance.contains("@")).otherwise(F.length(F.regexp_replace(instance, "[^0-9]", "")) >= LEAST_CHARS)
+
+
 def confident(edges: DataFrame, rounds: int, confidence: float, least_seeds: int) -> DataFrame:
-    """(pattern, kind, score) of the patterns that reach ``confidence`` after scores have gone round the graph.
+    """(pattern, kind, score) of the patterns that reach ``confidence`` after seeds and patterns have gone round the graph.
 
-    edges: distinct (pattern, instance, kind of a seed or null). A pattern's score for a kind is the mean score
-    of its strings, with half a string of doubt; a string that is no seed has the score 1 - product(1 - score)
-    over its confident patterns. At least ``least_seeds`` different seeds must stand behind a pattern.
+    edges: distinct (pattern, instance, kind of a seed or null). In each round a pattern's score for a kind is the belief
+    in its seeds of that kind over its strings, with half a string of doubt, and at least ``least_seeds`` different
+    seeds must stand behind it. A string that is no seed is believed to be of a kind by 1 - product(1 - score) over its
+    confident patterns; from ``confidence`` on, and if it can be of that kind, it is a seed of the next round, with its
+    belief as its weight.
     """
     size = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
-    seeds = edges.where("kind is not null")
-    known = seeds.groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("good"))
-    base = known.where(F.col("good") >= least_seeds).join(size, "pattern")
-    patterns = base.select("pattern", "kind", "n", "good", (F.col("good") / (F.col("n") + 0.5)).alias("score"))
-    for _ in range(rounds - 1):
-        sure = patterns.where(F.col("score") >= confidence / 2).select("pattern", F.col("kind").alias("as_kind"), "score")
-        fresh = edges.where("kind is null").join(sure, "pattern").groupBy("instance", "as_kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("belief"))
-        gain = edges.where("kind is null").select("pattern", "instance").join(fresh, "instance").groupBy("pattern", F.col("as_kind").alias("kind")).agg(F.sum("belief").alias("gain"))
-        patterns = base.join(gain, ["pattern", "kind"], "left").select("pattern", "kind", "n", "good", ((F.col("good") + F.coalesce("gain", F.lit(0.0)) * 0.5) / (F.col("n") + 0.5)).alias("score"))
-    return patterns.where(F.col("score") >= confidence).groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("m")).select("pattern", F.col("m.kind").alias("kind"), F.col("m.score").alias("score"))
+    given = edges.where("kind is not null").select("pattern", "instance", "kind", F.lit(1.0).alias("weight"))
+    loose = edges.where("kind is null").select("pattern", "instance")
+    seeds = given
+    for k in range(rounds):
+        known = seeds.groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("good"), F.sum("weight").alias("mass")).where(F.col("good") >= least_seeds)
+        patterns = known.join(size, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 0.5)).alias("score")).where(F.col("score") >= confidence)
+        if k < rounds - 1:
+            beliefs = loose.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("weight"))
+            best = beliefs.where((F.col("weight") >= confidence) & fits(F.col("kind"), F.col("instance"))).groupBy("instance").agg(F.max(F.struct("weight", "kind")).alias("m"))
+            seeds = given.unionByName(loose.join(best, "instance").select("pattern", "instance", "m.kind", "m.weight"))
+    return patterns.groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("m")).select("pattern", F.col("m.kind").alias("kind"), F.col("m.score").alias("score"))
 
 
 def personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.5, least_seeds: int = 3) -> DataFrame:
@@ -122,8 +130,7 @@ def personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.5, lea
     edges = each.groupBy("pattern", F.col("m.instance").alias("instance")).agg(F.max("kind").alias("kind"))
     good = confident(edges, rounds, confidence, least_seeds)
     added = each.where("kind is null").drop("kind").join(good, "pattern")
-    fits = F.when(F.col("kind") == "email", F.col("m.instance").contains("@")).otherwise(F.length(F.regexp_replace("m.instance", "[^0-9]", "")) >= LEAST_CHARS)
-    added = added.where(fits).groupBy("doc_id", "__h", "__n", "m.start", "m.end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    added = added.where(fits(F.col("kind"), F.col("m.instance"))).groupBy("doc_id", "__h", "__n", "m.start", "m.end").agg(F.max(F.struct("score", "kind")).alias("best"))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("best.kind")).cast("int") - 1
     span = F.struct("start", number.alias("kind_no"), "end", F.col("best.kind").alias("kind"))
     added = added.groupBy(F.col("doc_id").alias("__id"), F.col("__h").alias("__h2"), F.col("__n").alias("__n2")).agg(F.array_sort(F.collect_list(span)).alias("found"))
