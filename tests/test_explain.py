@@ -50,7 +50,7 @@ def test_contributions_are_shapley_values(spark, rows, kind):
         assert abs(x.base + sum(c.contribution for c in x.contributions) - x.p) < 1e-6
         assert [c.feature for c in x.contributions] == NAMES
     trees = model.stages[-1]
-    table = {(n.tree, n.id): n for n in explain.node_table(trees).collect()}
+    table = {(n.tree, n.id): n for n in explain.node_table(spark, trees).collect()}
     weights = trees.treeWeights if kind == "gbt" else [1 / trees.getNumTrees] * trees.getNumTrees
     for x in got[:3]:
         v = [c.value for c in x.contributions]

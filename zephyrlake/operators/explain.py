@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zephyrlake.sources.shared import shared_dir
@@ -37,11 +37,8 @@ class Leaf:
     share: np.ndarray
 
 
-def node_table(trees) -> DataFrame:
+def node_table(spark: SparkSession, trees) -> DataFrame:
     """tree, id, feature (-1 at leaves), threshold, left, right, value, rows of a fitted tree model, as Spark ML saves it."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     trees.write().save(path)
     node, split = "nodeData", "nodeData.split"
@@ -123,7 +120,7 @@ def contributions(df: DataFrame, model: PipelineModel, features: list[str]) -> D
     trees = model.stages[-1]
     weights = list(trees.treeWeights)
     weights = weights if isinstance(trees, GBTRegressionModel) else [w / sum(weights) for w in weights]
-    leaves, base = leaves_of(node_table(trees), weights)
+    leaves, base = leaves_of(node_table(df.sparkSession, trees), weights)
     keep = [c for c in df.columns if c not in ("p", "base", "contributions")]
     rows = model.transform(df.select(*keep)).select(*keep, F.col(trees.getPredictionCol()).alias("p"), vector_to_array(trees.getFeaturesCol()).alias("__x"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "base double", f"contributions {PARTS}"])
