@@ -44,7 +44,7 @@ def nearest(points: DataFrame, sites: DataFrame, place: list[str], place_at: lis
     keys, dims = keys or [], len(place_at)
     usable = lambda at: [x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) for x in at]
     whole = lambda at: F.array(*[F.floor(x.cast("double") / cell) for x in at])
-    wider = lambda c, level: F.transform(c, lambda x: F.shiftright(x, level) if isinstance(level, int) else F.floor(x / F.pow(F.lit(2.0), level)))
+    wider = lambda level: F.transform("__cell", lambda x: F.floor(x / F.pow(F.lit(2.0), F.col(level))))
 
     def where_all(df: DataFrame, conditions: list[Column]) -> DataFrame:
         for c in conditions:
@@ -54,15 +54,17 @@ def nearest(points: DataFrame, sites: DataFrame, place: list[str], place_at: lis
     at = where_all(points, usable(place_at)).select(*keys, *place, whole(place_at).alias("__cell")).distinct()
     there = where_all(sites, usable(site_at)).withColumn("__cell", whole(site_at))
     probed = range(0, levels + 1, STEP)
-    held = there.select(*keys, "__cell").distinct().select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("level"), wider(F.col("__cell"), k).alias("near")) for k in probed])).alias("h")).select(*keys, "h.*").distinct()
-    homes = at.select(*keys, "__cell").distinct()
-    asked = homes.select(*keys, "__cell", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), blocks(wider(F.col("__cell"), k), dims).alias("near")) for k in probed])).alias("h"))
-    asked = asked.select(*keys, "__cell", "h.level", F.explode("h.near").alias("near"))
+    at_levels = lambda df, ks: df.withColumn("level", F.explode(F.array(*[F.lit(k) for k in ks])))
+    held = at_levels(there.select(*keys, "__cell").distinct(), probed).select(*keys, "level", wider("level").alias("near")).distinct()
+    homes = at_levels(at.select(*keys, "__cell").distinct(), probed).withColumn("near", wider("level"))
+    asked = homes.select(*keys, "__cell", "level", F.explode(blocks(F.col("near"), dims)).alias("near"))
     level = asked.join(held, [*keys, "level", "near"]).groupBy(*keys, "__cell").agg(F.least(F.min("level") + STEP, F.lit(levels)).alias("__level"))
-    searching = at.join(level, [*keys, "__cell"]).withColumn("__near", F.explode(blocks(wider(F.col("__cell"), F.col("__level")), dims)))
+    searching = at.join(level, [*keys, "__cell"]).withColumn("__own", wider("__level"))
+    searching = searching.withColumn("__near", F.explode(blocks(F.col("__own"), dims))).drop("__own", "__cell")
     reached = sorted({min(k + STEP, levels) for k in probed})
-    offered = there.withColumn("__h", F.explode(F.array(*[F.struct(F.lit(k).alias("__level"), wider(F.col("__cell"), k).alias("__near")) for k in reached]))).drop("__cell").select("*", "__h.*").drop("__h")
-    met = searching.drop("__cell").join(offered, [*keys, "__level", "__near"])
+    offered = there.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in reached])))
+    offered = offered.withColumn("__near", wider("__level")).drop("__cell")
+    met = searching.join(offered, [*keys, "__level", "__near"])
     best = met.groupBy(*keys, *place).agg(F.min(F.struct(distance.alias("distance"), *[F.col(c) for c in found])).alias("__best"))
     out = points.join(best, [*keys, *place], "left")
     return out.select(*points.columns, *[F.col(f"__best.{c}").alias(c) for c in found], F.col("__best.distance").alias("distance"))
