@@ -108,3 +108,73 @@ def test_covered_keys_go(spark):
     rows = [(k, i, 1) for k, n in ((7, 9), (3, 9), (5, 6), (6, 2)) for i in range(n)] + [(8, i, 1) for i in range(5, 12)] + [(1, i, 0) for i in range(20, 30)] + [(2, i, 1) for i in range(20, 25)]
     df = spark.createDataFrame(rows, "key long, id long, indexed int")
     assert {x.key for x in lines.without_covered(df, 4).select("key").distinct().collect()} == {3, 6, 8, 1, 2}
+
+
+def spread(a, edits, r):
+    """A copy with so many edits, spread evenly along the line."""
+    b = list(a)
+    for k in range(edits, 0, -1):
+        at = k * len(a) // (edits + 1)
+        b[at : at + r.choice((0, 1))] = r.choice(("#", "#%", "")) or []
+    return "".join(b)
+
+
+def test_no_pair_within_the_threshold_is_missed():
+    """Edits anywhere, also evenly spread, on lines about every edge of bands and thresholds: the shorter one's index meets the other's keys."""
+    r, pairs = random.Random(16), 0
+    for n in (16, 19, 20, 24, 25, 29, 30, 36, 37, 39, 40, 49, 50, 60, 61, 76, 77, 96, 128, 150, 200, 233, 600, 1500):
+        for _ in range(60):
+            a = "".join(r.choice("abcdefg ") for _ in range(n))
+            b = spread(a, r.randrange(1, 5), r)
+            if r.random() < 0.5:
+                a, b = b, a
+            most = min(4, lines.allowed(min(len(a), len(b)), 0.1))
+            if min(len(a), len(b)) < lines.MIN_CHARS or a == b or lines.banded(a, b, most) > most:
+                continue
+            pairs += 1
+            keys, owner = lines.keys_of([a, b], 4, 0.1, (lines.MIN_CHARS, 1 << 62))
+            of = lambda i, odd=None: {k for k, o in zip(keys.tolist(), owner.tolist(), strict=True) if o >> 1 == i and (odd is None or o & 1)}
+            short = int(len(b) < len(a))
+            assert of(short, 1) & of(1 - short)
+    assert pairs > 600
+
+
+def test_evenly_edited_lines_are_repeats(spark):
+    """Classes equal brute force at production's threshold; lines of 60 to 600 characters with evenly spread edits among them."""
+    r, docs = random.Random(17), []
+    for n in (18, 33, 45, 60, 100, 128, 200, 300, 600):
+        for _ in range(4):
+            a = "".join(r.choice("abcdefghij ") for _ in range(n)).strip()
+            docs += [a, *(spread(a, k, r).strip() for k in (1, 3, 4, 5, 9))]
+    docs += ["", "-", "-"]
+    r.shuffle(docs)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    distinct = sorted({x for x in docs if x})
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            most = min(4, lines.allowed(min(len(a), len(b)), 0.1))
+            if min(len(a), len(b)) >= lines.MIN_CHARS and lines.banded(a, b, most) <= most:
+                root[find(a)] = find(b)
+    seen, want = set(), {}
+    for i, x in enumerate(docs):
+        want[i] = [0] if x and find(x) in seen else []
+        seen |= {find(x)} if x else set()
+    assert sum(map(len, want.values())) > 80
+    for sizes in ({}, {"cell": 4, "meet": 6}):
+        got = lines.line_classes(df, share=0.1, most=4, **sizes).collect()
+        classes = {}
+        for x in got:
+            classes.setdefault(x.component, set()).add(x.id)
+        by_text = {}
+        for x in distinct:
+            i = lines.line_id(x)
+            by_text.setdefault(find(x), set()).add(i - (1 << 64) if i >> 63 else i)
+        assert sorted(map(sorted, classes.values())) == sorted(sorted(x) for x in by_text.values() if len(x) > 1)
+    assert {x.doc_id: x.drop for x in lines.repeated_lines(df, share=0.1, most=4).collect()} == want

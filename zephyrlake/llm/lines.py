@@ -1,16 +1,17 @@
 """Line dedup by a segment-partition edit join.
 
-A line within ``edits`` edits of another leaves at least one of the other's edits + 1 segments intact. Each
-line is indexed by its segments, and probes the substrings that could be a segment of a line as long or up to
-``edits`` shorter, at the few places that an alignment within the threshold allows. Lines that share a key are
-verified by banded bit-parallel edit distance; lines so linked are a class, of which the first is kept.
-
-With ``share`` the threshold grows: a pair may differ by that share of its shorter line. Lines under LONG have
-segments by length bands, each with its own threshold; of longer ones, every run of characters of a given length
-yields the seeds that are least in some window, so that lines with such a run in common share a seed; a line goes
-by a fixed number of its least seeds. A pair is verified under the least key it shares. Lines of a key beyond
-CELL are dealt to parts: what is linked within parts is one class, and only lines outside the key's largest
-class meet all parts, so that a large group of close lines costs no more than its rows.
+A line within ``edits`` edits of another leaves at least one of the other's edits + 1 segments intact. Lengths are
+cut into bands; the segments of a band are at fixed places of its least length, so that a line indexes its band
+once for all lengths in it, and a longer line probes the few places at which an alignment within the threshold can
+bring a segment. Lines that share a key are verified by banded bit-parallel edit distance; lines so linked are a
+class, of which the first is kept. No pair within the threshold is missed, whatever the length of its lines.
+
+With ``share`` and ``most`` the threshold is that share of the shorter line, ``most`` edits at most; this is the
+form of the query and the pipeline. With ``share`` alone the threshold grows without end, and that join is not
+exact: lines under LONG have segments, longer ones go by a fixed number of seeds, the substrings that are least in
+some window. A pair is verified under the least key it shares. Lines of a key beyond CELL are dealt to parts: what
+is linked within parts is one class, and only lines outside the key's largest class meet all parts, so that a large
+group of close lines costs no more than its rows.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from zephyrlake.llm import graph
 from zephyrlake.llm.storage import cache_of, cut, turn_to
 
 EDITS = 2
-#: Production: edits by length of the shorter line; every line of any length is found when repeated exactly.
-SHARE = 0.1
+#: Production: edits by length of the shorter line, and at most; every line of any length is found when repeated exactly.
+SHARE, MOST = 0.1, 4
+#: A band of lengths ends at this multiple of its least length, or where the threshold changes.
+BAND = 1.25
 #: (least length of the shorter line, characters in a row): longer lines meet when they have such a run in common.
 RUNS = ((60, 19), (128, 31))
 #: A line goes by so many of its seeds, those of least hash, whatever its length: two lines that have a share j of their seeds in common miss each other with a chance of about (1 - j) ** SEEDS.
@@ -245,40 +248,64 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 cache_of("lines", _powers.cache_clear)
 
 
-def keys_of(lines: list[str], edits: int, within: tuple[int, int] = (0, 1 << 62)) -> tuple[np.ndarray, np.ndarray]:
+def bands_of(longest: int, edits: int, share: float | None = None, within: tuple[int, int] = (0, 1 << 62)) -> np.ndarray:
+    """Rows (least length, end, threshold) of the bands of lengths that are indexed, up to ``longest``; lengths no greater than their threshold are in none."""
+    limit = lambda n: edits if share is None else min(edits, allowed(n, share))
+    low, out = max(within[0], edits + 1 if share is None else 1), []
+    while low <= longest and low < within[1]:
+        end = min(within[1], max(low + 1, int(low * BAND)))
+        most = limit(low)
+        if share is not None:
+            end = next((n for n in range(low + 1, end) if limit(n) != most), end) if most < edits else end
+        if 0 < most < low:
+            out.append((low, end, most))
+        low = end
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def keys_of(lines: list[str], edits: int, share: float | None = None, within: tuple[int, int] = (0, 1 << 62)) -> tuple[np.ndarray, np.ndarray]:
     """(keys, owner): the keys of all lines; owner is twice the number of the line, plus 1 where the key indexes it.
 
-    A line of length l is indexed by its edits + 1 segments, the shorter ones first, and probes lines as long or
-    shorter by up to ``edits``: their i-th segment can lie shifted only so far that the edits before and after it
-    stay within the threshold, seen from either end. Keys of own length and place are index keys and probes in
-    one. ``within`` bounds the lengths of indexed lines. Substrings are hashed from running sums of characters times powers of an odd base, modulo 2**64; all
-    lines are worked on at once for each kind of probe.
+    A pair's threshold is ``edits`` or, if less, ``share`` of its shorter line. The shorter line is indexed by the
+    threshold + 1 segments of its band, which divide the band's least length; the other probes that band, its own or
+    an earlier one. Of the segments, one has as many edits before it as segments, so it lies shifted by no more than
+    its number, and by no more than what the edits behind it allow. A key at its own place indexes and probes.
+    ``within`` bounds the lengths of indexed lines. Substrings are hashed from running sums of characters times
+    powers of an odd base, modulo 2**64; all lines are worked on at once for each place.
     """
     text = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     lengths = np.array([len(x) for x in lines], np.int64)
     offsets = np.cumsum(lengths) - lengths
-    number = np.arange(len(lines))
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    bands = bands_of(int(lengths.max(initial=0)), edits, share, within)
+    if not len(bands):
+        return keys[0], owners[0]
+    # A line meets the bands from the first that reaches it within the threshold to its own.
+    first = np.searchsorted(bands[:, 1] + bands[:, 2], lengths, side="right")
+    last = np.searchsorted(bands[:, 0], lengths, side="right")
+    times = np.maximum(last - first, 0)
+    number = np.repeat(np.arange(len(lines)), times)
+    band = np.arange(len(number)) - np.repeat(np.cumsum(times) - times, times) + first[number]
+    (low, end, most), size, offset = bands[band].T, lengths[number], offsets[number]
+    base, longer = low // (most + 1), low % (most + 1)
+    # By how much the line can be longer than one of the band.
+    least, greatest = np.maximum(0, size - end + 1), np.minimum(most, size - low)
     power, back = _powers(1 << max(20, int(len(text)).bit_length()))
-    keys, owners = [], []
     with np.errstate(over="ignore"):
         sums = np.zeros(len(text) + 1, np.uint64)
         np.cumsum(text * power[: len(text)], dtype=np.uint64, out=sums[1:])
-        for short in range(edits + 1):
-            indexed = lengths - short
-            base, longer = indexed // (edits + 1), indexed % (edits + 1)
-            for i in range(edits + 1):
-                first_longer = edits + 1 - longer
-                at = i * base + np.maximum(0, i - first_longer)
-                size = base + (i >= first_longer)
-                for shift in range(max(-i, short - (edits - i)), min(i, short + edits - i) + 1):
-                    start = at + shift
-                    fits = (base > 0) & (indexed >= within[0]) & (indexed < within[1]) & (start >= 0) & (start + size <= lengths)
-                    begin, end = (offsets + start)[fits], (offsets + start + size)[fits]
-                    h = (sums[end] - sums[begin]) * back[begin]
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                    h += (indexed[fits] * 64 + i).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-                    keys.append(h ^ (h >> np.uint64(32)))
-                    owners.append(number[fits] * 2 + (short == 0 and shift == 0))
+        for i in range(int(bands[:, 2].max()) + 1):
+            at = i * base + np.maximum(0, i - (most + 1 - longer))
+            run = base + (i >= most + 1 - longer)
+            for shift in range(-i, i + 1):
+                start = at + shift
+                fits = np.flatnonzero((i <= most) & (shift >= least - (most - i)) & (shift <= greatest + most - i) & (start >= 0) & (start + run <= size))
+                begin = (offset + start)[fits]
+                h = (sums[begin + run[fits]] - sums[begin]) * back[begin]
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                h += (low[fits] * 4096 + i).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+                keys.append(h ^ (h >> np.uint64(32)))
+                owners.append(number[fits] * 2 + ((size < end)[fits] & (shift == 0)))
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -322,13 +349,9 @@ def growing_keys(lines: list[str], share: float, min_chars: int) -> tuple[np.nda
     upper, half = np.uint64(0xFFFFFFFF << 32), np.int64(0xFFFF)
     lengths = np.array([len(x) for x in lines], np.int64)
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for edits in range(1, allowed(LONG - 1, share) + 1):
-        span = [n for n in range(min_chars, LONG) if allowed(n, share) == edits]
-        own = np.flatnonzero((lengths >= span[0]) & (lengths <= span[-1] + edits)) if span else ()
-        if len(own):
-            k, o = keys_of([lines[i] for i in own], edits, (span[0], span[-1] + 1))
-            keys.append(k & upper)
-            owners.append(own[o >> 1] * 2 + (o & 1))
+    k, o = keys_of(lines, allowed(LONG - 1, share), share, (min_chars, LONG))
+    keys.append(k & upper)
+    owners.append(o)
     for (low, run), (high, _) in zip(RUNS, [*RUNS[1:], (1 << 40, 0)], strict=True):
         own = np.flatnonzero((lengths >= low) & (lengths <= high + allowed(high, share)))
         if len(own):
@@ -370,12 +393,17 @@ def meeting(batch: pd.DataFrame, share: float) -> pd.DataFrame:
         good = (line[live] != line[other]) & ((np.abs(place[live] - place[other]) <= most[live]) | (np.maximum(place[live], place[other]) == 0xFFFF)) & ((indexed[live] | indexed[other]) > 0)
         keep[live[good]] = keep[other[good]] = True
         d += 1
-    batch, group = batch[keep], group[keep]
+    return by_lines(batch[keep], group[keep])
+
+
+def by_lines(batch: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+    """Whole groups, whose rows come sorted by id: key becomes a hash of the group's lines, so that groups of the same lines become one."""
     if not len(batch):
         return batch
+    line = batch["id"].to_numpy() & ~1
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    distinct = np.append(True, (group[1:] != group[:-1]) | (batch["id"].to_numpy()[1:] != batch["id"].to_numpy()[:-1]))
-    mixed = batch["id"].to_numpy().astype(np.uint64)
+    distinct = np.append(True, (group[1:] != group[:-1]) | (line[1:] != line[:-1]))
+    mixed = line.astype(np.uint64)
     with np.errstate(over="ignore"):
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         sums = np.add.reduceat(np.where(distinct, mixed ^ (mixed >> np.uint64(32)), np.uint64(0)), starts)
@@ -405,8 +433,11 @@ def without_covered(rows: DataFrame, cell: int) -> DataFrame:
     return rows.join(pairs.where("both = n").select("key").distinct(), "key", "left_anti")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, share: float | None = None, cell: int = CELL, meet: int = MEET) -> DataFrame:
-    """(id, component) of every line of docs (text) that is within ``edits`` edits (or ``share`` of the shorter line) of a different line; ids are those of line_id."""
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, share: float | None = None, most: int | None = None, cell: int = CELL, meet: int = MEET) -> DataFrame:
+    """(id, component) of every line of docs (text) that is within ``edits`` edits (or ``share`` of the shorter line, ``most`` at most) of a different line; ids are those of line_id."""
+    growing = share is not None and most is None
+    if most is not None:
+        edits = most
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,14 +447,14 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
             for i in range(0, len(all_texts), 200):
                 lines = list({x for t in all_texts[i : i + 200] for x in lines_of(t) if len(x) >= min_chars})
                 if lines:
-                    keys, owners = keys_of(lines, edits) if share is None else growing_keys(lines, share, min_chars)
+                    keys, owners = growing_keys(lines, share, min_chars) if growing else keys_of(lines, edits, share, (min_chars, 1 << 62))
                     ids = np.array([line_id(x) for x in lines], np.uint64)
                     yield pd.DataFrame({"key": keys.view(np.int64), "id": (ids[owners >> 1] | (owners & 1).astype(np.uint64)).view(np.int64)})
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Of a key's rows, which come sorted by id, only different ones matter; a key needs two lines, one of them indexed.
-        for batch in different(batches, 0 if share is None else 32):
-            if share is not None:
+        for batch in different(batches, 32 if growing else 0):
+            if growing:
                 if len(batch):
                     yield meeting(batch, share)
                 continue
@@ -432,9 +463,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                 starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 sizes = np.diff(np.append(starts, len(key)))
                 several = (np.maximum.reduceat(line, starts) != np.minimum.reduceat(line, starts)) & (np.maximum.reduceat(indexed, starts) > 0)
-                yield batch[np.repeat(several, sizes)]
+                several = np.repeat(several, sizes)
+                yield by_lines(batch[several], key[several])
 
-    rows = texts.mapInPandas(keyed, "key bigint, id bigint").repartition(F.col("key") if share is None else F.shiftright("key", 32)).sortWithinPartitions("key", "id")
+    rows = texts.mapInPandas(keyed, "key bigint, id bigint").repartition(F.shiftright("key", 32) if growing else F.col("key")).sortWithinPartitions("key", "id")
     # A line that indexes a key also probes it: one row of the two is enough.
     rows = cut(rows.mapInPandas(shared, "key bigint, id bigint").groupBy("key", F.expr("id & -2").alias("id")).agg(F.max(F.expr("id & 1")).alias("indexed")))
     rows = cut(without_covered(rows, cell))
@@ -463,7 +495,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in graph.whole(batches, ["key", "cell"]):
-            yield linked(batch, edits, share)
+            yield linked(batch, edits, share, growing)
 
     def within_cells(rows: DataFrame) -> DataFrame:
         return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "id").mapInPandas(verified, "a bigint, b bigint")
@@ -502,7 +534,7 @@ def profile(codes: np.ndarray, owner: np.ndarray, lines: int) -> tuple[np.ndarra
     return single.astype(np.int32), np.bincount(owner[1:][inside] * 256 + pairs, minlength=lines * 256).reshape(lines, 256).astype(np.int32)
 
 
-def linked(batch: pd.DataFrame, edits: int, share: float | None = None) -> pd.DataFrame:
+def linked(batch: pd.DataFrame, edits: int, share: float | None = None, growing: bool = False) -> pd.DataFrame:
     """Edges that link the close lines of each cell (key, cell) of a batch of whole, sorted ones; pairs already linked are not looked at again.
 
     All cells are worked on at once: lines d places apart, for every d.
@@ -544,6 +576,7 @@ def linked(batch: pd.DataFrame, edits: int, share: float | None = None) -> pd.Da
         at = at[(p < 0) | (q < 0) | (np.where((p + q) % 2 == 0, np.minimum(p, q), np.maximum(p, q)) == at_cell[at])]
         i, j = line[at], line[at + d]
         most = np.full(len(i), edits) if share is None else np.floor(share * np.minimum(lengths[i], lengths[j]) + 1e-9).astype(np.int64)
+        most = most if growing else np.minimum(most, edits)
         able = np.abs(lengths[i] - lengths[j]) <= most
         at, i, j, most = at[able], i[able], j[able], most[able]
         for counts, times in ((single, 2), (double, 4)):
@@ -567,15 +600,15 @@ def linked(batch: pd.DataFrame, edits: int, share: float | None = None) -> pd.Da
     return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64) if out else none
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, share: float | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, share: float | None = None, most: int | None = None) -> DataFrame:
     """doc_id, __key, n_lines, n_repeated and drop (their numbers, from 0): the lines of each document that repeat an earlier one.
 
     Equal lines and lines linked by at most ``edits`` edits, also through others, are one class; its first line by
     doc_id (null last), then by line number, is kept. __key is a hash of the text: rows of equal doc_id and
     text get the same answer, each its own row. Ids may be of any type. Lines shorter than ``min_chars`` are never repeats; with ``share``, which takes the
-    place of ``edits``, they are where another line that is not empty equals them.
+    place of ``edits`` and is exact if ``most`` bounds it, they are where another line that is not empty equals them.
     """
-    classes = line_classes(docs, edits, min_chars, share)
+    classes = line_classes(docs, edits, min_chars, share, most)
     least = min_chars if share is None else 1
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -608,13 +641,13 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return a.join(b, same, "left").select("a.doc_id", "a.__key", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("b.drop"), F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("b.drop", F.array().cast("array<int>")).alias("drop"))
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, share: float | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, share: float | None = None, most: int | None = None) -> DataFrame:
     """The documents without the lines that repeat an earlier line; n_chars, if there, follows the text.
 
     A document that had text and has none left goes; null and empty texts, repeated rows and all other columns
     stay as they are.
     """
-    found = repeated_lines(docs, edits, min_chars, share).where("n_repeated > 0").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("drop").alias("__drop")).dropDuplicates(["__id", "__k"])
+    found = repeated_lines(docs, edits, min_chars, share, most).where("n_repeated > 0").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("drop").alias("__drop")).dropDuplicates(["__id", "__k"])
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k"))
     rows = docs.join(found, same, "left")
     lines = F.split("text", "\n", -1)

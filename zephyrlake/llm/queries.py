@@ -35,7 +35,7 @@ def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, number of lines, of repeated ones and their places, of every document."""
-    rows = lines.repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), share=lines.SHARE)
+    rows = lines.repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), share=lines.SHARE, most=lines.MOST)
     return rows.select("doc_id", "n_lines", "n_repeated", F.array_join(F.col("drop").cast("array<string>"), ",").alias("repeated"))
 
 
