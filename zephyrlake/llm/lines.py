@@ -514,11 +514,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
 
 def different(batches: Iterator[pd.DataFrame], shift: int = 0) -> Iterator[pd.DataFrame]:
-    """Batches of whole keys (without their lowest ``shift`` bits) without repeated rows; a key's rows that fill batch after batch lose their repeats on the way."""
+    """Batches of whole keys (without their lowest ``shift`` bits) without repeated rows, which come sorted by key and id; a key's rows that fill batch after batch lose their repeats on the way."""
     held = None
     for batch in batches:
         batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        batch = batch.drop_duplicates()
+        key, line = batch["key"].to_numpy(), batch["id"].to_numpy()
+        batch = batch[np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]))[: len(batch)]]
         last = batch["key"].to_numpy() >> shift == batch["key"].iloc[-1] >> shift if len(batch) else np.zeros(0, bool)
         held = batch[last]
         yield batch[~last]
