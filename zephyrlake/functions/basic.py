@@ -36,8 +36,14 @@ def truthy(text: Column) -> Column:
 
 
 def trimmed(x: Column, digits: int = 4) -> Column:
-    """A number as text with at most ``digits`` decimals and no trailing zeros; null is empty."""
-    text = F.format_string(f"%.{digits}f", x.cast("double"))
+    """A number as text with at most ``digits`` decimals and no trailing zeros; null is empty.
+
+    Rounding goes by the double's exact binary value, half to even, as C and Python print it; Java's %f goes by the
+    shortest decimal that names the double, half up. Digits beyond those of that decimal are not made up.
+    """
+    x = x.cast("double")
+    named = F.isnan(x) | (F.abs(x) == float("inf"))
+    text = F.when(named, x.cast("string")).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0")))
     return F.coalesce(F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text), F.lit(""))
 
 
