@@ -22,13 +22,13 @@ def readings(spark: SparkSession, path: str, schema, per_trigger: int = 1000) ->
 
 
 def hourly(stream: DataFrame, late: str = "3 hours") -> DataFrame:
-    """Count and mean per station, pollutant and hour, told once the watermark has passed the hour; rows later than the watermark are dropped."""
+    """Count and mean per station, pollutant and hour; in append mode told once the watermark has passed the hour. Rows later than the watermark are dropped."""
     out = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "station", "pollutant").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v"))
     return out.select("station", "pollutant", F.col("w.start").alias("hour"), "n", "v")
 
 
 def sessions(stream: DataFrame, gap: str = "2 hours", late: str = "3 hours") -> DataFrame:
-    """Start, end and count of each station's sessions, which end after a gap, told once the watermark has passed their end."""
+    """Start, end and count of each station's sessions, which end after a gap; in append mode told once the watermark has passed their end."""
     out = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "station").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("peak"))
     return out.select("station", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n", "peak")
 
@@ -131,14 +131,21 @@ def current(spark: SparkSession, path: str, schema: StructType, keys: list[str])
     return last.select(*keys, "x.*").select(schema.names)
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, its results written as Parquet in the shared folder, and reads them: all batches, or the last one if complete."""
+def finished(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is there, its results written as Parquet in the shared folder, and reads them: all batches, the last one if complete, or what the last batch that told it says of each of ``keys`` if update.
+
+    Append leaves out what the watermark hasn't passed when the input ends; update and complete tell it too. Update
+    writes only what a batch changes; session windows can't be told so and take complete.
+    """
     spark, base = stream.sparkSession, shared_dir(stream.sparkSession, "streams")
     logged(stream, f"{base}/out", f"{base}/state", mode).start().awaitTermination()
     rows = spark.read.schema(StructType([*stream.schema.fields]).add("batch", "long")).parquet(f"{base}/out")
     if mode == "complete":
         last = rows.agg(F.max("batch").alias("__last"))
         rows = rows.join(F.broadcast(last), F.col("batch") == F.col("__last"))  # one row
+    elif mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
     return rows.select(stream.columns)
 
 
