@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrlake.llm import graph
@@ -311,8 +311,40 @@ def candidate_classes(sets: DataFrame, similarity: float, levels: int, small: in
     return cut(graph.components(edges.union(linked_by_sketches(cells, similarity, small))))
 
 
+def parts_of(cell: int) -> Column:
+    """Cells that the sets of a group fill, by their sizes."""
+    return F.ceil(F.sum(1 + F.floor(F.col("size") / CELL_SHINGLES)) / cell).cast("int").alias("parts")
+
+
+def link_counts(classed: DataFrame, shingles: DataFrame, similarity: float, cell: int = CELL) -> DataFrame:
+    """(set_id, n): how many other sets of its class (set_id, class, size) each set is near.
+
+    All sets near a set are of its class, so a class is compared with itself, part by part: a cell holds two parts at
+    most. That is exact and, in one class, quadratic in its number of different sets.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in graph.groups(batches, ["class", "cell"]):
+            close = near([np.frombuffer(x, np.uint64) for x in group["shingles"]], similarity)
+            np.fill_diagonal(close, False)
+            part = group["part"].to_numpy()
+            if (part != part[0]).any():
+                close &= part[:, None] != part[None, :]
+            elif group["other"].iloc[0] != part[0]:
+                continue  # The other part is empty: this one is compared in a cell of its own.
+            yield pd.DataFrame({"set_id": group["set_id"], "n": close.sum(axis=1).astype(np.int64)})
+
+    parts = classed.groupBy("class").agg(parts_of(cell))
+    rows = classed.join(parts, "class").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("cell", F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other"))
+    rows = rows.select("class", "cell", "part", "other", "set_id").join(shingles, "set_id").repartition("class", "cell").sortWithinPartitions("class", "cell", "set_id")
+    counts = rows.select("class", "cell", "part", "other", "set_id", "shingles").mapInPandas(count, "set_id bigint, n bigint")
+    return counts.groupBy("set_id").agg(F.sum("n").alias("n"))
+
+
 def verified(candidates: DataFrame, shingles: DataFrame, similarity: float, cell: int = CELL, leaders: int = LEADERS) -> DataFrame:
-    """Edges (a, b) of near sets that connect all that near pairs of a component connect.
+    """Edges (a, b) of near sets that connect all that near pairs of a component connect, and rows (a, a, n) of each set's number of near ones where its component fits a cell; n is 0 on edges.
 
     candidates: (set_id, component, size). A component that fits a cell is compared there. Of a larger one, leaders
     meet all sets; those that come next are drawn from the sets outside its largest class that have not led yet, so
@@ -322,17 +354,18 @@ def verified(candidates: DataFrame, shingles: DataFrame, similarity: float, cell
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in graph.groups(batches, ["component", "cell"]):
             close = near([np.frombuffer(x, np.uint64) for x in group["shingles"]], similarity)
-            lead = group["leads"].to_numpy()
+            lead, ids = group["leads"].to_numpy(), group["set_id"].to_numpy()
             close &= lead[:, None] | lead[None, :]
             np.fill_diagonal(close, False)
-            yield forest(group["set_id"].to_numpy(), close)
+            yield forest(ids, close).assign(n=0)
+            if lead.all():
+                yield pd.DataFrame({"a": ids, "b": ids, "n": close.sum(axis=1).astype(np.int64)})
 
     def compared(rows: DataFrame) -> DataFrame:
         rows = rows.join(shingles, "set_id").repartition("component", "cell").sortWithinPartitions("component", "cell", "set_id")
-        return rows.select("component", "cell", "set_id", "leads", "shingles").mapInPandas(compare, "a bigint, b bigint")
+        return rows.select("component", "cell", "set_id", "leads", "shingles").mapInPandas(compare, "a bigint, b bigint, n bigint")
 
-    weight = 1 + F.floor(F.col("size") / CELL_SHINGLES)
-    parts = candidates.groupBy("component").agg(F.ceil(F.sum(weight) / cell).cast("int").alias("parts"))
+    parts = candidates.groupBy("component").agg(parts_of(cell))
     rows = cut(candidates.join(parts, "component"))
     edges = cut(compared(rows.where("parts = 1").withColumn("cell", F.lit(0)).withColumn("leads", F.lit(True))))
     large, led = rows.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")), None
@@ -360,21 +393,20 @@ def verified(candidates: DataFrame, shingles: DataFrame, similarity: float, cell
         to = F.when(F.col("leads"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(x.alias("p"), lead_part.cast("int").alias("l"))))
         to = F.array_union(F.transform(F.sequence(F.lit(0), F.col("lead_parts") - 1), lambda x: F.struct(F.col("part").alias("p"), x.alias("l"))), F.coalesce(to, F.array().cast("array<struct<p:int,l:int>>")))
         cells = own.withColumn("to", F.explode(to)).withColumn("cell", F.col("to.p") * F.col("lead_parts") + F.col("to.l"))
-        more = compared(cells.select("component", "cell", "set_id", "leads"))
+        more = compared(cells.select("component", "cell", "set_id", "leads")).where("a <> b")
         found = cut(more if found is None else found.union(more))
         led = new.select("set_id") if led is None else cut(led.union(new.select("set_id")))
         n *= 8
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, levels: int = LEVELS, small: int = SMALL, cell: int = CELL, leaders: int = LEADERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, levels: int = LEVELS, small: int = SMALL, cell: int = CELL, leaders: int = LEADERS, links: bool = True) -> DataFrame:
     """doc_id, __h (a hash of the text), class_id, n_links of every row of docs (doc_id, text).
 
     class_id: the same for all documents linked by a Jaccard similarity of at least ``similarity`` of their
     sets of ``words`` lower-case words in a row, directly or through others; equal texts are always linked. A
     text with fewer words is one shingle; texts without words are of the class null and have no links. n_links:
-    the links to different sets that were verified and kept to connect the class, 1 at least where there is a set
-    near the document's; pairs already connected are not compared, so a large class has far fewer than all. Whole
-    texts are read. Repeated rows, null ids and null texts (empty) are rows like others; other columns are left out.
+    how many different sets of that similarity there are besides the document's own, all of them; left out unless
+    ``links``. Whole texts are read. Repeated rows, null ids and null texts (empty) are rows like others; other columns are left out.
     """
     runs = runs_for(recall, levels)
     sets = cut(shingle_sets(docs, words, similarity, runs))
@@ -383,13 +415,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     candidates = candidate_classes(each, similarity, levels, small)
     near_some = cut(each.select("set_id", "h", "size").join(candidates, each["set_id"] == candidates["id"]).select("set_id", "h", "size", "component"))
-    found = cut(verified(near_some.drop("h"), cut(shingles_of(docs, near_some.select(F.col("h").alias("id")), words)), similarity, cell, leaders))
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    classes = graph.components(found)
-    ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id")))
-    found = classes.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links")), "id", "left").select(F.col("id").alias("set_id"), "component", "n_links")
-    rows = sets.join(found, "set_id", "left")
-    return rows.select("doc_id", "__h", F.coalesce("component", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    shingles = cut(shingles_of(docs, near_some.select(F.col("h").alias("id")), words))
+    found = cut(verified(near_some.drop("h"), shingles, similarity, cell, leaders))
+    classes = graph.components(found.where("a <> b").select("a", "b")).select(F.col("id").alias("set_id"), F.col("component").alias("class"))
+    if not links:
+        rows = sets.join(classes, "set_id", "left")
+        return rows.select("doc_id", "__h", F.coalesce("class", "set_id").alias("class_id"))
+    classes = cut(classes)
+    counts = found.where("a = b").select(F.col("a").alias("set_id"), "n")
+    # Sets of components that no cell holds have no number yet.
+    left = cut(classes.join(counts, "set_id", "left_anti").join(near_some.select("set_id", "size"), "set_id"))
+    if left.take(1):
+        counts = counts.union(link_counts(left, shingles, similarity, cell))
+    rows = sets.join(classes, "set_id", "left").join(counts, "set_id", "left")
+    return rows.select("doc_id", "__h", F.coalesce("class", "set_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
@@ -397,7 +436,7 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
 
     Texts without words stay; rows of the same doc_id and text are kept once. All columns stay as they are.
     """
-    classes = near_duplicates(docs, **settings)
+    classes = near_duplicates(docs, links=False, **settings)
     at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__h").alias("h"))
     first = classes.where("class_id is not null").groupBy("class_id").agg(F.min(at).alias("m"))
     kept = first.select(F.col("m.d").alias("__id"), F.col("m.h").alias("__k"), F.lit(True).alias("__first"))
