@@ -90,7 +90,8 @@ def same_hour_fires(panel: DataFrame, fires: DataFrame, stations: DataFrame, max
     """
     hourly = fires.withColumn("hour", F.date_trunc("hour", "acq").cast("timestamp_ntz")).select("hour", "lat", "lon", "frp")
     rows = panel.select("station", "hour").distinct().join(stations, "station")
-    homes = with_cells(rows, max_km).join(hourly.withColumn("__cell", cell_of(F.col("lat"), F.col("lon"))), ["hour", "__cell"])
+    # Rows of all cells in reach count as their source in Spark's sizes: without the hints they, or all fires, may be broadcast.
+    homes = with_cells(rows, max_km).hint("merge").join(hourly.withColumn("__cell", cell_of(F.col("lat"), F.col("lon"))).hint("merge"), ["hour", "__cell"])
     inside = homes.where(geo.haversine(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon")) <= max_km)
     counts = inside.groupBy("station", "hour").agg(F.count(F.lit(1)).alias("fire_count"), F.sum("frp").alias("total_frp"))
     near = nearest_in_km(rows, hourly.select("hour", "lat", "lon"), [], "slat", "slon", "lat", "lon", ["hour"]).select("station", "hour", F.col("distance").alias("nearest_fire_distance"))
