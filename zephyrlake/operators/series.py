@@ -27,6 +27,28 @@ def trailing_stats(df: DataFrame, keys: list[str], ts: str, column: str, widths:
     return df.withColumns(out)
 
 
+def trailing_range(df: DataFrame, keys: list[str], ts: str, column: str, width: int) -> DataFrame:
+    """__n, __mean: rows and mean of the column in [ts - width, ts] of each row, in whole seconds, by key; a null time has the rows of null time.
+
+    A range frame is worked out anew for each row. Here time goes in parts as wide as the frame, so that a frame is the
+    start of a row's own part up to it and the end of the part before from its like place on: two running sums, one
+    row per key and second, and no task holds more than a part.
+    """
+    sums = ["__k", "__m", "__s"]
+    rows = df.withColumn("__at", seconds(ts))
+    per = rows.groupBy(*keys, "__at").agg(F.count(F.lit(1)).alias("__k"), F.count(column).alias("__m"), F.sum(F.col(column).cast("double")).alias("__s"))
+    own = per.select(*keys, "__at", F.col("__at").alias("__place"), F.lit(True).alias("__own"), *sums)
+    asked = per.where("__at is not null").select(*keys, "__at", (F.col("__at") - width).alias("__place"), F.lit(False).alias("__own"), F.lit(0).cast("long").alias("__k"), F.lit(0).cast("long").alias("__m"), F.lit(None).cast("double").alias("__s"))
+    both = own.unionByName(asked).withColumn("__part", F.floor(F.col("__place") / width))
+    up, down = (Window.partitionBy(*keys, "__part").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow) for order in (F.asc("__place"), F.desc("__place")))
+    both = both.select(*keys, "__at", *[F.when(F.col("__own"), F.sum(c).over(up)).otherwise(F.sum(c).over(down)).alias(c) for c in sums])
+    found = both.groupBy(*keys, "__at").agg(*[F.sum(c).alias(c) for c in sums]).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__at").alias("__when"), F.col("__k").alias("__n"), F.when(F.col("__m") > 0, F.col("__s") / F.col("__m")).alias("__mean"))
+    same = F.col("__at").eqNullSafe(F.col("__when"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(found, same, "left").select(*df.columns, "__n", "__mean")
+
+
 def targets(df: DataFrame, keys: list[str], ts: str, column: str, horizons: list[int]) -> DataFrame:
     """<column>_t<h>: the value so many rows ahead."""
     w = ordered(keys, ts)
