@@ -10,6 +10,8 @@ from zephyrlake.operators.nearest import nearest_in_km
 from zephyrlake.operators.series import seconds
 
 MAX_KM = 500.0
+#: Parts of a cell's fires, where these are many and stations few.
+SHARES = 256
 
 
 def cell_of(lat: Column, lon: Column) -> Column:
@@ -26,15 +28,23 @@ def with_cells(stations: DataFrame, max_km: float) -> DataFrame:
     return rows.withColumn("__cell", F.concat_ws(":", F.col("__i").cast("string"), F.col("__j").cast("string"))).drop("__i", "__j")
 
 
-def near_fires(fires: DataFrame, stations: DataFrame, max_km: float = MAX_KM, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(station, fire columns, km, bearing) for fires within reach of a station.
+def near_fires(fires: DataFrame, stations: DataFrame, max_km: float = MAX_KM, keys: tuple[str, ...] = (), carried: tuple[str, ...] = (), parts: int = 1) -> DataFrame:
+    """(station, carried columns, fire columns, km, bearing) for fires within reach of a station.
 
     stations: (station, slat, slon). Both sides are dealt to cells of five degrees, stations to all cells that
     their reach can touch, so that only neighbours meet. keys: columns of both sides that have to be equal as well, such
-    as a bucket of time; distances are worked out for what meets.
+    as a bucket of time; distances are worked out for what meets. carried: further columns of stations to go along.
+    parts: the fires of a cell are dealt to so many, each of which meets the cell's stations, for where fires are many
+    and stations few.
     """
-    homes = with_cells(stations.select("station", "slat", "slon", *keys), max_km)
-    rows = fires.withColumn("__cell", cell_of(F.col("lat"), F.col("lon"))).join(homes, ["__cell", *keys]).drop("__cell")
+    homes = with_cells(stations.select("station", "slat", "slon", *keys, *carried), max_km)
+    fires = fires.withColumn("__cell", cell_of(F.col("lat"), F.col("lon")))
+    if parts > 1:
+        homes = homes.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        fires = fires.withColumn("__share", F.pmod(F.xxhash64(*[c for c in fires.columns if c != "__cell"]), F.lit(parts)).cast("int"))
+        # Exploded sides count as their source in Spark's sizes: without the hints one may be broadcast.
+        homes, fires = homes.hint("merge"), fires.hint("merge")
+    rows = fires.join(homes, ["__cell", *(["__share"] if parts > 1 else []), *keys]).drop("__cell", "__share")
     rows = rows.withColumn("km", geo.haversine(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= max_km)
     return rows.withColumn("bearing", geo.bearing(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))).drop("slat", "slon")
 

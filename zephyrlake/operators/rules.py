@@ -105,8 +105,10 @@ def transport_risk(df: DataFrame) -> DataFrame:
     """
     vent, pbl_n = clip(F.col("wind_speed") * F.col("pbl_height") / 6000.0, 0, 1), clip(F.col("pbl_height") / 1500.0, 0, 1)
     near = 1 - F.least(F.lit(1.0), F.coalesce("nearest_fire_distance", F.lit(501.0)) / 500.0)
-    fire = F.bround(clip(0.5 * F.coalesce("fire_impact_score", F.lit(0.0)) + 0.25 * near + 0.15 * clip(F.coalesce("wind_aligned_fire_count", F.lit(0)) / 50.0, 0, 1) + 0.1 * F.coalesce("wind_alignment_pct", F.lit(0.0)) / 100.0, 0, 1), 4)
-    air = F.when(vent.isNotNull() | pbl_n.isNotNull() | F.col("inversion").isNotNull(), F.bround(clip(0.45 * (1 - F.coalesce(vent, F.lit(0.5))) + 0.3 * F.coalesce("inversion", F.lit(0.0)) + 0.25 * (1 - F.coalesce(pbl_n, F.lit(0.5))), 0, 1), 4))
+    # Four places, half to even by the scaled double: bround goes by the shortest decimal that names it, which a sum's last bit may put beside a tie.
+    four = lambda x: F.rint(x * 10_000) / 10_000
+    fire = four(clip(0.5 * F.coalesce("fire_impact_score", F.lit(0.0)) + 0.25 * near + 0.15 * clip(F.coalesce("wind_aligned_fire_count", F.lit(0)) / 50.0, 0, 1) + 0.1 * F.coalesce("wind_alignment_pct", F.lit(0.0)) / 100.0, 0, 1))
+    air = F.when(vent.isNotNull() | pbl_n.isNotNull() | F.col("inversion").isNotNull(), four(clip(0.45 * (1 - F.coalesce(vent, F.lit(0.5))) + 0.3 * F.coalesce("inversion", F.lit(0.0)) + 0.25 * (1 - F.coalesce(pbl_n, F.lit(0.5))), 0, 1)))
     loaded = F.when(F.col("pm25") > 0, met.loading(F.col("pm25")))
     rows = df.withColumns({"fire_component": fire, "atmo_component": air, "pollution_component": loaded})
     parts = [(0.45, "fire_component"), (0.35, "atmo_component"), (0.2, "pollution_component")]

@@ -73,7 +73,7 @@ def solver_index(spark, sf):
 
 @query(v.with_views("fires", "stations5") + f"SELECT fire_id, station, round({q.haversine('slat', 'slon', 'lat', 'lon')}, 6) AS km, round({q.bearing('slat', 'slon', 'lat', 'lon')}, 6) AS bearing FROM fires, stations5 WHERE {q.haversine('slat', 'slon', 'lat', 'lon')} <= 500")
 def haversine_bearing(spark, sf):
-    return r6(fire.near_fires(v.fires(spark, sf), v.stations(spark)).select("fire_id", "station", "km", "bearing"), "km", "bearing")
+    return r6(fire.near_fires(v.fires(spark, sf), v.stations(spark), parts=fire.SHARES).select("fire_id", "station", "km", "bearing"), "km", "bearing")
 
 
 @query(v.with_views("weather") + f"SELECT station, ts, round(-wind_speed * sin(radians(wind_direction)), 6) AS wind_u, round(-wind_speed * cos(radians(wind_direction)), 6) AS wind_v, {q.compass('wind_direction')} AS compass_from FROM weather")
@@ -168,8 +168,10 @@ RISK_MET = f"near AS (SELECT * FROM nn WHERE km <= 500), w1 AS (SELECT station,
 @query(v.with_views("fires", "stations5", "panel", "weather", more=f"{WP}, " + NEAR.replace("near AS", "nn AS", 1) + f", {RISK_MET}") + "SELECT station, CAST(fire_c AS DOUBLE) AS fire_component, CAST(atmo_c AS DOUBLE) AS atmo_component, round(poll_c, 6) AS pollution_component, risk_score, CASE WHEN risk_score <= 20 THEN 'LOW' WHEN risk_score <= 40 THEN 'MODERATE' WHEN risk_score <= 60 THEN 'ELEVATED' WHEN risk_score <= 80 THEN 'HIGH' ELSE 'VERY HIGH' END AS risk_level FROM s")
 def transport_risk(spark, sf):
     now = clean.latest_by(weather_pollution(spark, sf), ["station"], [F.desc("ts")])
-    near = fire.near_fires(v.fires(spark, sf), v.stations(spark))
-    measured = fire.measures(near.join(now.select("station", "wind_speed", "wind_direction"), "station"), ["station"])
+    # The winds go along with the stations, so that fires are summed where they meet them and no task gets all of a station's.
+    windy = v.stations(spark).join(now.select("station", "wind_speed", "wind_direction"), "station")
+    near = fire.near_fires(v.fires(spark, sf), windy, carried=("wind_speed", "wind_direction"), parts=fire.SHARES)
+    measured = fire.measures(near, ["station"])
     rows = rules.transport_risk(now.join(measured, "station", "left").withColumn("inversion", F.col("inv")))
     return rows.select("station", "fire_component", "atmo_component", F.round("pollution_component", 6).alias("pollution_component"), "risk_score", "risk_level")
 
