@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from zephyrlake.operators import evaluate, explain, models, series, training
 from zephyrlake.plans import views as v
 from zephyrlake.plans.queries_training import SPLIT
+from zephyrlake.sources.shared import shared_dir
 
 QUERIES, SQL = {}, {}
 FEATURES = ["pm25", "pm25_lag1", "pm25_lag3", "pm25_lag6", "pm25_mean6", "wind_speed", "pbl_height", "temperature", "humidity"]
@@ -33,7 +34,18 @@ def rounded(df, *names, digits=6):
 
 
 def model_rows(spark, sf):
-    """Lags, trailing means, weather, labels of both targets at all horizons, and the split in time."""
+    """Lags, trailing means, weather, labels of both targets at all horizons, and the split in time.
+
+    Written once and read again: a row per station and hour, which fits, counts, answers and scores read many times,
+    each of which would go over all events and line items otherwise.
+    """
+    path = shared_dir(spark, "model_rows")
+    derived_rows(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def derived_rows(spark, sf):
+    """The rows of models as they follow from the tables."""
     rows = v.panel(spark, sf).where("pm25 is not null").select("station", "hour", "pm25", "no2")
     rows = series.lags(rows, ["station"], "hour", "pm25", [1, 3, 6])
     rows = series.trailing_stats(rows, ["station"], "hour", "pm25", [6])
