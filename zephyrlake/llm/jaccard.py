@@ -300,7 +300,7 @@ def candidate_classes(sets: DataFrame, similarity: float, levels: int, small: in
         below = F.when(F.col("n") > small * 16 ** (level - 1), child).otherwise(below)
     large = cut(crowded(large.select(below.alias("node"), "set_id", "sketch")))
     edges = cut(linked_by_sketches(nodes.where(F.col("n") <= small).union(large.select(nodes.columns)), similarity, small))
-    classes = cut(graph.components(edges))
+    classes = graph.components(edges)
     # What no choice tells apart was dealt to parts. Where a node still holds several components, sets outside its main one meet all parts.
     left = large.where(F.col("n") > small).drop("n").join(classes.select(F.col("id").alias("set_id"), F.col("component").alias("class")), "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
     mixed_ = left.groupBy("node").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("node")
@@ -308,7 +308,7 @@ def candidate_classes(sets: DataFrame, similarity: float, levels: int, small: in
     if not left.take(1):
         return classes
     cells = graph.main_and_others(left, "node", "set_id", small).select(F.xxhash64("node", "cell").alias("node"), "set_id", "sketch", F.lit(0).alias("n"))
-    return cut(graph.components(edges.union(linked_by_sketches(cells, similarity, small))))
+    return graph.components(edges.union(linked_by_sketches(cells, similarity, small)))
 
 
 def parts_of(cell: int) -> Column:
@@ -421,7 +421,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     if not links:
         rows = sets.join(classes, "set_id", "left")
         return rows.select("doc_id", "__h", F.coalesce("class", "set_id").alias("class_id"))
-    classes = cut(classes)
     counts = found.where("a = b").select(F.col("a").alias("set_id"), "n")
     # Sets of components that no cell holds have no number yet.
     left = cut(classes.join(counts, "set_id", "left_anti").join(near_some.select("set_id", "size"), "set_id"))
