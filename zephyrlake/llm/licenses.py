@@ -33,6 +33,8 @@ TEMPLATES = {
     "Rights reserved": "All rights reserved.",
 }
 THRESHOLD = 0.8
+#: Words of any text, which tell least.
+COMMON = frozenset("a an and any are as at by for from in is it may must not of on or that the this to under with you".split())
 
 
 def plain_words(text: str) -> list[str]:
@@ -54,14 +56,14 @@ def telling(templates: dict[str, str], threshold: float) -> list[str]:
     """Words of which any passage that reaches the threshold against any template holds one.
 
     Dice >= s against t bigrams asks for at least ceil(s * t / (2 - s)) shared ones. Words are taken from each
-    template, longest first and those taken before at no cost, until fewer bigrams than that are free of them.
+    template, longest first, common ones last and those taken before at no cost, until fewer bigrams than that are free of them.
     """
     chosen: set[str] = set()
     for text in templates.values():
         words = plain_words(text)
         grams = bigrams(words)
         asked = -int(-(threshold * len(grams) / (2 - threshold) - 1e-9) // 1)
-        for word in sorted({w for w in words if w not in chosen}, key=lambda w: (-len(w), w)):
+        for word in sorted({w for w in words if w not in chosen}, key=lambda w: (w in COMMON, -len(w), w)):
             if sum(not chosen & set(g.split()) for g in grams) < asked:
                 break
             chosen.add(word)
