@@ -397,9 +397,9 @@ def meeting(batch: pd.DataFrame, share: float) -> pd.DataFrame:
 
 
 def by_lines(batch: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-    """Whole groups, whose rows come sorted by id: key becomes a hash of the group's lines, so that groups of the same lines become one."""
+    """Whole groups, whose rows come sorted by id: key becomes a hash of the group's lines, so that groups of the same lines become one; adds n, their number."""
     if not len(batch):
-        return batch
+        return batch.assign(n=np.zeros(0, np.int64))
     line = batch["id"].to_numpy() & ~1
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     distinct = np.append(True, (group[1:] != group[:-1]) | (line[1:] != line[:-1]))
@@ -407,7 +407,8 @@ def by_lines(batch: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
     with np.errstate(over="ignore"):
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         sums = np.add.reduceat(np.where(distinct, mixed ^ (mixed >> np.uint64(32)), np.uint64(0)), starts)
-    return batch.assign(key=np.repeat(sums, np.diff(np.append(starts, len(batch)))).view(np.int64))
+    sizes = np.diff(np.append(starts, len(batch)))
+    return batch.assign(key=np.repeat(sums, sizes).view(np.int64), n=np.repeat(np.add.reduceat(distinct.astype(np.int64), starts), sizes))
 
 
 def bit_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -420,17 +421,18 @@ def bit_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def without_covered(rows: DataFrame, cell: int) -> DataFrame:
-    """Rows (key, id, indexed) without the keys of more than ``cell`` lines whose lines all stand under one larger key too, or an equal one of less number.
+    """Rows (key, id, indexed, and n, the key's number of lines, where it is known) without the keys of more than ``cell`` lines whose lines all stand under one larger key too, or an equal one of less number.
 
     The seeds of a passage that many lines share are such: a line goes by its least seeds, so that lines with any
     seed of the passage have its least ones. Every pair of such a key meets under the other, where all are indexed.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    each = rows.join(sizes, "key").groupBy("id").agg(F.collect_list(F.struct("n", "key", "indexed")).alias("a")).where(F.size("a") > 1)
+    sized = rows if "n" in rows.columns else rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    each = sized.where(F.col("n") > cell).groupBy("id").agg(F.collect_list(F.struct("n", "key", "indexed")).alias("a")).where(F.size("a") > 1)
     pairs = each.select(F.explode("a").alias("x"), "a").select("x", F.explode("a").alias("y"))
     larger = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.key") < F.col("x.key")))
     pairs = pairs.where(larger & (F.col("y.indexed") > 0)).groupBy("x.key", F.col("y.key").alias("by"), "x.n").agg(F.count(F.lit(1)).alias("both"))
-    return rows.join(pairs.where("both = n").select("key").distinct(), "key", "left_anti")
+    covered = cut(pairs.where("both = n").select("key").distinct())
+    return cut(rows.join(covered, "key", "left_anti")) if covered.take(1) else rows
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, share: float | None = None, most: int | None = None, cell: int = CELL, meet: int = MEET) -> DataFrame:
@@ -468,8 +470,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
     rows = texts.mapInPandas(keyed, "key bigint, id bigint").repartition(F.shiftright("key", 32) if growing else F.col("key")).sortWithinPartitions("key", "id")
     # A line that indexes a key also probes it: one row of the two is enough.
-    rows = cut(rows.mapInPandas(shared, "key bigint, id bigint").groupBy("key", F.expr("id & -2").alias("id")).agg(F.max(F.expr("id & 1")).alias("indexed")))
-    rows = cut(without_covered(rows, cell))
+    rows = cut(rows.mapInPandas(shared, "key bigint, id bigint, n bigint").groupBy("key", F.expr("id & -2").alias("id")).agg(F.max(F.expr("id & 1")).alias("indexed"), F.max("n").alias("n")))
+    rows = without_covered(rows, cell)
     table = bit_filter(rows.select("id"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,12 +488,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
             yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.int64()), pa.array(list(found.values()), pa.string())], ["id", "line"])
 
     lines = texts.mapInArrow(wanted, "id bigint, line string").groupBy("id").agg(F.first("line").alias("line"))
-    kept = rows.groupBy("id").agg(F.collect_list(F.struct("key", "indexed")).alias("found")).join(lines, "id")
-    kept = kept.select("id", "line", F.col("found.key").alias("keys"), F.expr("transform(filter(found, x -> x.indexed > 0), x -> x.key)").alias("own"), F.explode("found").alias("at"))
-    kept = kept.select("id", "line", "keys", "own", "at.*")
+    # One row a line, with the keys that it stands under; they become rows only where they are dealt out.
+    each = cut(rows.groupBy("id").agg(F.collect_list(F.struct("key", "indexed", "n")).alias("found")).join(lines, "id"))
+    keys = (F.col("found.key").alias("keys"), F.expr("transform(filter(found, x -> x.indexed > 0), x -> x.key)").alias("own"))
     # Powers of two: lines that share several keys so share parts, and a pair is looked at under one key only.
-    parts = kept.groupBy("key").agg(F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / cell)))).cast("int").alias("parts"))
-    kept = cut(kept.join(parts, "key").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("class", F.col("id")).withColumn("part", F.lit(-1)))
+    parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("at.n") / cell)))).cast("int")
+    kept = each.select("id", "line", *keys, F.explode("found").alias("at"), F.col("id").alias("class"), F.lit(-1).alias("part"))
+    kept = kept.select("id", "line", "keys", "own", "at.key", "at.indexed", F.pmod(F.xxhash64("id"), parts).cast("int").alias("cell"), "class", "part")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in graph.whole(batches, ["key", "cell"]):
@@ -503,13 +506,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     # First each line of a large group meets those of its part; then the lines outside the group's largest class meet all parts.
     edges = cut(within_cells(kept))
     classes = graph.components(edges)
-    large = kept.where("parts > 1").drop("class")
+    large = each.select("id", "line", "found", F.expr(f"filter(found, x -> x.n > {int(cell)})").alias("large")).where(F.size("large") > 0)
     if not large.take(1):
         return classes
-    large = large.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    large = large.join(classes, "id", "left").select("id", "line", *keys, F.coalesce("component", "id").alias("class"), F.explode("large").alias("at")).select("id", "line", "keys", "own", "at.key", "at.indexed", "class")
     sizes = large.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    large = large.join(sizes.select("key"), "key").drop("cell")
-    more = within_cells(graph.main_and_others(large.drop("part"), "key", "id", meet).select(kept.columns))
+    large = large.join(sizes.select("key"), "key")
+    more = within_cells(graph.main_and_others(large, "key", "id", meet).select(kept.columns))
     return graph.components(edges.union(more))
 
 
