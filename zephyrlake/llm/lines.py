@@ -45,6 +45,8 @@ LOOK = 2048
 MIN_CHARS = 16
 #: Lines of a key in one part, at most about; and when lines of different classes meet.
 CELL, MEET = 256, 1024
+#: Bits of a key that are kept: keys that agree by chance only bring candidates, one in 100,000 of three billion keys.
+KEY_BITS = 48
 #: Fewer pairs than this, and bands of more words, are compared one by one.
 FEW, WIDE = 32, 8
 #: log2 of the bits of the filter that says which lines are candidates at all; past its room it only lets more lines through.
@@ -451,7 +453,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                 if lines:
                     keys, owners = growing_keys(lines, share, min_chars) if growing else keys_of(lines, edits, share, (min_chars, 1 << 62))
                     ids = np.array([line_id(x) for x in lines], np.uint64)
-                    yield pd.DataFrame({"key": keys.view(np.int64), "id": (ids[owners >> 1] | (owners & 1).astype(np.uint64)).view(np.int64)})
+                    # 48 bits of a key are enough; with the empty bytes last, rows are smaller where they are shuffled.
+                    keys = keys if growing else keys >> np.uint64(64 - KEY_BITS)
+                    yield pd.DataFrame({"id": (ids[owners >> 1] | (owners & 1).astype(np.uint64)).view(np.int64), "key": keys.view(np.int64)})
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Of a key's rows, which come sorted by id, only different ones matter; a key needs two lines, one of them indexed.
@@ -468,7 +472,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                 several = np.repeat(several, sizes)
                 yield by_lines(batch[several], key[several])
 
-    rows = texts.mapInPandas(keyed, "key bigint, id bigint").repartition(F.shiftright("key", 32) if growing else F.col("key")).sortWithinPartitions("key", "id")
+    rows = texts.mapInPandas(keyed, "id bigint, key bigint").repartition(F.shiftright("key", 32) if growing else F.col("key")).sortWithinPartitions("key", "id")
     # A line that indexes a key also probes it: one row of the two is enough.
     rows = cut(rows.mapInPandas(shared, "key bigint, id bigint, n bigint").groupBy("key", F.expr("id & -2").alias("id")).agg(F.max(F.expr("id & 1")).alias("indexed"), F.max("n").alias("n")))
     rows = without_covered(rows, cell)
