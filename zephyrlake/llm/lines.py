@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zephyrlake.llm import graph
-from zephyrlake.llm.storage import cache_of, cut, turn_to
+from zephyrlake.llm.storage import cache_of, cut, tidy, turn_to
 
 EDITS = 2
 #: Production: edits by length of the shorter line, and at most; every line of any length is found when repeated exactly.
@@ -472,9 +472,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                 several = np.repeat(several, sizes)
                 yield by_lines(batch[several], key[several])
 
-    rows = texts.mapInPandas(keyed, "id bigint, key bigint").repartition(F.shiftright("key", 32) if growing else F.col("key")).sortWithinPartitions("key", "id")
+    rows = texts.mapInPandas(tidy(keyed), "id bigint, key bigint").repartition(F.shiftright("key", 32) if growing else F.col("key")).sortWithinPartitions("key", "id")
     # A line that indexes a key also probes it: one row of the two is enough.
-    rows = cut(rows.mapInPandas(shared, "key bigint, id bigint, n bigint").groupBy("key", F.expr("id & -2").alias("id")).agg(F.max(F.expr("id & 1")).alias("indexed"), F.max("n").alias("n")))
+    rows = cut(rows.mapInPandas(tidy(shared), "key bigint, id bigint, n bigint").groupBy("key", F.expr("id & -2").alias("id")).agg(F.max(F.expr("id & 1")).alias("indexed"), F.max("n").alias("n")))
     rows = without_covered(rows, cell)
     table = bit_filter(rows.select("id"))
 
@@ -491,7 +491,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                             found[i - (1 << 64) if i >> 63 else i] = x
             yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.int64()), pa.array(list(found.values()), pa.string())], ["id", "line"])
 
-    lines = texts.mapInArrow(wanted, "id bigint, line string").groupBy("id").agg(F.first("line").alias("line"))
+    lines = texts.mapInArrow(tidy(wanted), "id bigint, line string").groupBy("id").agg(F.first("line").alias("line"))
     # One row a line, with the keys that it stands under; they become rows only where they are dealt out.
     each = cut(rows.groupBy("id").agg(F.collect_list(F.struct("key", "indexed", "n")).alias("found")).join(lines, "id"))
     keys = (F.col("found.key").alias("keys"), F.expr("transform(filter(found, x -> x.indexed > 0), x -> x.key)").alias("own"))
@@ -505,7 +505,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
             yield linked(batch, edits, share, growing)
 
     def within_cells(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "id").mapInPandas(verified, "a bigint, b bigint")
+        return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "id").mapInPandas(tidy(verified), "a bigint, b bigint")
 
     # First each line of a large group meets those of its part; then the lines outside the group's largest class meet all parts.
     edges = cut(within_cells(kept))
@@ -637,7 +637,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.mapInArrow(numbered, f"doc_id {kind}, __key bigint, line_no int, id bigint, again boolean")
+    rows = texts.mapInArrow(tidy(numbered), f"doc_id {kind}, __key bigint, line_no int, id bigint, again boolean")
     rows = cut(rows.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component", "id"))
     at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__key").alias("k"), F.col("line_no").alias("l"))
     first = rows.where(F.col("class").isNotNull() & ~F.col("again")).groupBy("class").agg(F.min(at).alias("first"))

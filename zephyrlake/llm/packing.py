@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrlake.llm.pretokens import Cache, chunks, vocabulary, vocabulary_path
-from zephyrlake.llm.storage import cache_of, cut, turn_to
+from zephyrlake.llm.storage import cache_of, cut, tidy, turn_to
 
 PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces of one length are numbered in this many independent parts.
 SALTS = 128
+#: Pre-tokens that a worker keeps.
+ENTRIES = 150_000
+#: Texts of a batch that are worked on at a time; their pre-tokens take several times their own memory.
+TEXTS = 512
 
 
 @lru_cache(maxsize=4)
@@ -52,7 +56,7 @@ def encodings(path: str | None) -> Cache:
             found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest[i : i + 1000], library.encode_batch(rest[i : i + 1000], add_special_tokens=False), strict=True))
         return [found[w] for w in words]
 
-    return Cache(encoded)
+    return Cache(encoded, ENTRIES)
 
 
 cache_of("packing", encodings.cache_clear)
@@ -70,22 +74,24 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
         vocab, cache = vocabulary(path), encodings(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            ids = iter(batch.column("doc_id").to_pylist())
-            for run in chunks(batch.column("__text").to_pylist()):
-                for parts in cache.values([vocab.ordered(t) for t in run]):
-                    doc_id = next(ids)
-                    data = b"".join(parts) + end
-                    total = len(data) // 4
-                    at, size = 0, (total - 1) % capacity + 1
-                    for piece in range(-(-total // capacity)):
-                        for name, x in zip(out, (doc_id, piece, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])), strict=True):
-                            out[name].append(x)
-                        at, size = at + size, capacity
-            yield pa.RecordBatch.from_pydict(out, pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in out]))
+            for first in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(first, TEXTS)
+                out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
+                ids = iter(some.column("doc_id").to_pylist())
+                for run in chunks(some.column("__text").to_pylist()):
+                    for parts in cache.values([vocab.ordered(t) for t in run]):
+                        doc_id = next(ids)
+                        data = b"".join(parts) + end
+                        total = len(data) // 4
+                        at, size = 0, (total - 1) % capacity + 1
+                        for piece in range(-(-total // capacity)):
+                            for name, x in zip(out, (doc_id, piece, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])), strict=True):
+                                out[name].append(x)
+                            at, size = at + size, capacity
+                yield pa.RecordBatch.from_pydict(out, pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in out]))
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("__text"))
-    return rows.mapInArrow(cut_texts, PIECES)
+    return rows.mapInArrow(tidy(cut_texts), PIECES)
 
 
 def fillings(counts: dict[int, int], gap: int, most: int) -> list[tuple[int, ...]]:

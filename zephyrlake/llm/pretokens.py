@@ -104,12 +104,12 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 class Cache:
     """pre-token -> value, filled in batches by ``make`` (list of distinct pre-tokens -> list of values)."""
 
-    def __init__(self, make: Callable[[list[str]], list]):
-        self.make, self.kept = make, {}
+    def __init__(self, make: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
+        self.make, self.entries, self.kept = make, entries, {}
 
     def values(self, lists: list[list[str]]) -> Iterator[Iterator]:
         """The values of every pre-token of every list, one list after the other; new ones are made together beforehand."""
-        if len(self.kept) > CACHE_ENTRIES:
+        if len(self.kept) > self.entries:
             self.kept = {}
         kept = self.kept
         new = list(set().union(*lists).difference(kept))

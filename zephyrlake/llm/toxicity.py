@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrlake.llm.pretokens import chunks
-from zephyrlake.llm.storage import cache_of, cut, turn_to
+from zephyrlake.llm.storage import cache_of, cut, tidy, turn_to
 
 BITS = 18
 NOTHING = np.zeros(0, np.int32)
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         seen = np.flatnonzero(tally.sum(axis=0))
         yield pd.DataFrame({"feature": np.append(seen, -1), "n0": np.append(tally[0, seen], size[0]), "n1": np.append(tally[1, seen], size[1])})
 
-    counts = cut(rows.mapInPandas(counted, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    counts = cut(rows.mapInPandas(tidy(counted), "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     sizes = counts.where("feature = -1").first()
     n0, n1 = (sizes["n0"], sizes["n1"]) if sizes else (0, 0)
     if not n0 or not n1:
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             yield pd.DataFrame({"toxic": batch["toxic"], "at": [x.astype("<i2").tobytes() for x in made.of_texts(batch["text"].tolist())]})
 
     # At most max_labels rows of a few bytes for each of at most max_features features.
-    data = rows.mapInPandas(encoded, "toxic int, at binary").toPandas().sort_values(["toxic", "at"])
+    data = rows.mapInPandas(tidy(encoded), "toxic int, at binary").toPandas().sort_values(["toxic", "at"])
     weights, bias = logistic([np.frombuffer(x, "<i2") for x in data["at"]], data["toxic"].to_numpy(float), ratio, settings.ridge)
     return Model(features, weights * ratio, bias, settings)
 
@@ -214,4 +214,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], [*keep, "score"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= model.settings.threshold).cast("int"))
+    return rows.mapInArrow(tidy(score), schema).withColumn("predicted", (F.col("score") >= model.settings.threshold).cast("int"))
