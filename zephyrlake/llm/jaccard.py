@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from zephyrlake.llm import graph
 from zephyrlake.llm.lines import FILTER_BITS, bit_filter
-from zephyrlake.llm.storage import cut, turn_to
+from zephyrlake.llm.storage import cut, tidy, turn_to
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -32,6 +32,8 @@ PLACES = 64
 LEVELS = 3
 #: Buckets of more sets than this are dealt to parts of this size, and split again if they hold several components.
 SMALL = 128
+#: One node in so many is worked on first.
+FIRST = 4
 #: Sets that are compared in full in one cell, about.
 CELL = 512
 #: Leaders of a larger component in the first round, eight times as many in each round after it.
@@ -104,11 +106,14 @@ def least_agreement(similarity: float) -> float:
 
 
 def likely_edges(key: np.ndarray, ids: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """(a, b): edges that connect what likely pairs of one key connect; rows come sorted by key.
+    """(a, b): edges that connect what likely pairs of one key connect; rows come sorted by key, and those of one id are connected from the start.
 
     All rows are compared with those d places on, for every d up to the largest key.
     """
+    order = np.lexsort((ids, key))
+    first = np.append(True, (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1]))[: len(key)]
     label = np.arange(len(key))
+    label[order] = order[first][np.cumsum(first) - 1]
 
     def find(i: int) -> int:
         while label[i] != i:
@@ -132,7 +137,9 @@ def likely_edges(key: np.ndarray, ids: np.ndarray, sketches: np.ndarray, similar
     low = np.full(len(key), np.iinfo(np.int64).max)
     np.minimum.at(low, label, ids)
     low = low[label]
-    return low[low != ids].tolist(), ids[low != ids].tolist()
+    # An edge for each id, however many rows it has.
+    new = order[first & (low != ids)[order]]
+    return low[new].tolist(), ids[new].tolist()
 
 
 def chosen(node: np.ndarray, embedded: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +187,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("__h"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(made, f"doc_id {kind}, __h bigint, set_id bigint, size int, nodes array<bigint>, sketch binary")
+    return rows.mapInArrow(tidy(made), f"doc_id {kind}, __h bigint, set_id bigint, size int, nodes array<bigint>, sketch binary")
 
 
 def set_id(shingles: np.ndarray) -> int | None:
@@ -255,7 +262,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["set_id", "shingles"])
 
     texts = docs.select(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.mapInArrow(made, "set_id bigint, shingles binary")
+    rows = texts.mapInArrow(tidy(made), "set_id bigint, shingles binary")
     return rows.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
@@ -266,14 +273,14 @@ def crowded(nodes: DataFrame) -> DataFrame:
 
 
 def linked_by_sketches(nodes: DataFrame, similarity: float, small: int) -> DataFrame:
-    """Edges (a, b) that connect what likely pairs of a node (node, set_id, sketch, n) connect; a node of more than ``small`` sets is dealt to parts."""
+    """Edges (a, b) between the classes that likely pairs of a node (node, set_id, class, sketch, n) connect; a node of more than ``small`` sets is dealt to parts."""
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint8))
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
-                held = tuple(np.concatenate(x) for x in zip(held, (batch.column("node").to_numpy(), batch.column("set_id").to_numpy(), rows), strict=True))
+                held = tuple(np.concatenate(x) for x in zip(held, (batch.column("node").to_numpy(), batch.column("class").to_numpy(), rows), strict=True))
             # The last key of a batch may go on in the next.
             end = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             a, b = likely_edges(*(x[:end] for x in held), similarity)
@@ -281,8 +288,8 @@ def linked_by_sketches(nodes: DataFrame, similarity: float, small: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     part = F.pmod(F.xxhash64("node", "set_id"), F.ceil(F.col("n") / small))
-    rows = nodes.select(F.when(F.col("n") > small, F.xxhash64("node", part)).otherwise(F.col("node")).alias("node"), "set_id", "sketch")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(grouped, "a bigint, b bigint")
+    rows = nodes.select(F.when(F.col("n") > small, F.xxhash64("node", part)).otherwise(F.col("node")).alias("node"), "class", "sketch")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(grouped), "a bigint, b bigint")
 
 
 def candidate_classes(sets: DataFrame, similarity: float, levels: int, small: int = SMALL) -> DataFrame:
@@ -299,16 +306,20 @@ def candidate_classes(sets: DataFrame, similarity: float, levels: int, small: in
         child = F.xxhash64(below, F.substring("sketch", F.pmod(F.xxhash64(below), F.lit(PLACES)).cast("int") + 1, F.lit(1)))
         below = F.when(F.col("n") > small * 16 ** (level - 1), child).otherwise(below)
     large = cut(crowded(large.select(below.alias("node"), "set_id", "sketch")))
-    edges = cut(linked_by_sketches(nodes.where(F.col("n") <= small).union(large.select(nodes.columns)), similarity, small))
-    classes = graph.components(edges)
-    # What no choice tells apart was dealt to parts. Where a node still holds several components, sets outside its main one meet all parts.
-    left = large.where(F.col("n") > small).drop("n").join(classes.select(F.col("id").alias("set_id"), F.col("component").alias("class")), "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
+    rows = nodes.where(F.col("n") <= small).union(large.select(nodes.columns))
+
+    # Members of a large group meet in most of their nodes: where the first nodes have connected them, the others need only tell what connects different classes.
+    early = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(FIRST)) == 0
+    classes = graph.components(cut(linked_by_sketches(rows.where(early).withColumn("class", F.col("set_id")), similarity, small)))
+    # Large ones of the first nodes were dealt to parts. Where a node holds several classes, sets outside its main one meet all its parts.
+    left = rows.where(~early | (F.col("n") > small)).drop("n").join(classes.select(F.col("id").alias("set_id"), F.col("component").alias("class")), "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
     mixed_ = left.groupBy("node").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("node")
     left = cut(left.join(mixed_, "node"))
     if not left.take(1):
         return classes
-    cells = graph.main_and_others(left, "node", "set_id", small).select(F.xxhash64("node", "cell").alias("node"), "set_id", "sketch", F.lit(0).alias("n"))
-    return graph.components(edges.union(linked_by_sketches(cells, similarity, small)))
+    cells = graph.main_and_others(left, "node", "set_id", small).select(F.xxhash64("node", "cell").alias("node"), "set_id", "class", "sketch", F.lit(0).alias("n"))
+    edges = cut(linked_by_sketches(cells, similarity, small))
+    return graph.components(classes.select(F.col("component").alias("a"), F.col("id").alias("b")).union(edges)) if edges.take(1) else classes
 
 
 def parts_of(cell: int) -> Column:
@@ -339,7 +350,7 @@ def link_counts(classed: DataFrame, shingles: DataFrame, similarity: float, cell
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("cell", F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other"))
     rows = rows.select("class", "cell", "part", "other", "set_id").join(shingles, "set_id").repartition("class", "cell").sortWithinPartitions("class", "cell", "set_id")
-    counts = rows.select("class", "cell", "part", "other", "set_id", "shingles").mapInPandas(count, "set_id bigint, n bigint")
+    counts = rows.select("class", "cell", "part", "other", "set_id", "shingles").mapInPandas(tidy(count), "set_id bigint, n bigint")
     return counts.groupBy("set_id").agg(F.sum("n").alias("n"))
 
 
@@ -363,7 +374,7 @@ def verified(candidates: DataFrame, shingles: DataFrame, similarity: float, cell
 
     def compared(rows: DataFrame) -> DataFrame:
         rows = rows.join(shingles, "set_id").repartition("component", "cell").sortWithinPartitions("component", "cell", "set_id")
-        return rows.select("component", "cell", "set_id", "leads", "shingles").mapInPandas(compare, "a bigint, b bigint, n bigint")
+        return rows.select("component", "cell", "set_id", "leads", "shingles").mapInPandas(tidy(compare), "a bigint, b bigint, n bigint")
 
     parts = candidates.groupBy("component").agg(parts_of(cell))
     rows = cut(candidates.join(parts, "component"))
