@@ -8,7 +8,6 @@ back to the pieces by their number within their length. Neither the plan nor the
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,42 +18,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.pretokens import Cache, chunks, vocabulary, vocabulary_path
+from zephyrlake.llm.pretokens import CACHE_CHARS, Cache, chunks, vocabulary, vocabulary_path
 from zephyrlake.llm.storage import cache_of, cut, tidy, turn_to
+from zephyrlake.llm.tokens import merged_ids
 
-PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces of one length are numbered in this many independent parts.
 SALTS = 128
 #: Pre-tokens that a worker keeps.
 ENTRIES = 150_000
-#: Texts of a batch that are worked on at a time; their pre-tokens take several times their own memory.
-TEXTS = 512
+#: Texts of a batch that are worked on at a time; their pre-tokens take several times their own memory, and few stay in a CPU's cache.
+TEXTS = 128
 
 
 @lru_cache(maxsize=4)
-def encodings(path: str | None) -> Cache:
-    """The worker's ids of pre-tokens as bytes, which outlive a task."""
+def library(path: str | None):
+    """The worker's tokenizer, for the few words that need it."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-    library = Tokenizer.from_file(vocabulary_path(path))
+    return Tokenizer.from_file(vocabulary_path(path))
+
+
+@lru_cache(maxsize=4)
+def encodings(path: str | None) -> Cache:
+    """The worker's ids of pre-tokens as bytes, which outlive a task."""
+    vocab = vocabulary(path)
 
     def encoded(words: list[str]) -> list[bytes]:
-        # A few at a time: the library's encodings are far larger than the ids. Words behind a space stay apart
-        # when they are joined, and one call for many of them is cheaper than one for each.
-        found: dict[str, bytes] = {}
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        for i in range(0, len(plain), 1000):
-            run = plain[i : i + 1000]
-            whole = library.encode("".join(run), add_special_tokens=False)
-            ids, cuts = np.array(whole.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(whole.word_ids))) + 1
-            ends = [0, *(4 * cuts).tolist(), len(ids)]
-            found.update(zip(run, (ids[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
-        rest = [w for w in words if w not in found]
-        for i in range(0, len(rest), 1000):
-            found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest[i : i + 1000], library.encode_batch(rest[i : i + 1000], add_special_tokens=False), strict=True))
-        return [found[w] for w in words]
+        # Merging takes a round for nearly each merge of the longest word; long ones, and special strings, are the library's.
+        alone = dict.fromkeys(w for w in words if len(w) > CACHE_CHARS or w in vocab.special)
+        for w in alone:
+            alone[w] = np.array(library(path).encode_batch_fast([w], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        ids, counts = merged_ids([b"" if w in alone else w.encode("utf-8") for w in words], vocab)
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [alone[w] if w in alone else data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)]
 
     return Cache(encoded, ENTRIES)
 
@@ -66,7 +64,8 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
     """Token ids of each whole text (null: empty) and ``end_id``, cut into pieces of at most ``capacity`` tokens.
 
     Only longer documents are cut; their first piece holds the remainder, all others are full. Rows: doc_id,
-    piece (from 0), start, length, ids_crc32 of the piece's little-endian unsigned 32-bit ids.
+    piece (from 0), start, length, ids_crc32 of the piece's little-endian unsigned 32-bit ids. path: a byte-level
+    BPE vocabulary (.json) whose ids follow from its merges alone, None for the default.
     """
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,10 @@ DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are worked out anew each time, so that the cache stays small.
 CACHE_CHARS = 64
+#: The rank of pairs that don't merge.
+NONE = np.int64(1) << 40
+#: Pairs are looked up in so many slots (as a power of 2), by their keys times an odd number that spreads them.
+SLOT_BITS, SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -50,7 +54,7 @@ def byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """Merge ranks as sorted arrays, special strings and the byte table of one vocabulary file."""
+    """Merge ranks as sorted arrays, the symbols they make by rank, special strings and the byte table of one vocabulary file."""
 
     def __init__(self, path: str | None = None):
         with open(vocabulary_path(path), encoding="utf-8") as f:
@@ -60,12 +64,33 @@ class Vocabulary:
         left, right, made = (np.array([ids[x] for x in xs], np.int64) for xs in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         key = left << 32 | right
         order = np.argsort(key, kind="stable")
-        self.keys, self.ranks, self.made = key[order], order.astype(np.int64), made[order]
+        self.keys, self.ranks, self.made = key[order], order.astype(np.int64), made
         self.byte_ids = np.array([ids[s] for s in byte_symbols()], np.int64)
+        slots = self.slots(self.keys)
+        self.one_of, self.crowded = np.zeros(1 << SLOT_BITS, np.int64), np.bincount(slots, minlength=1 << SLOT_BITS) > 1
+        self.one_of[slots] = np.arange(len(slots))
+        self.byte_ranks = self.pair_ranks(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
 
+    @staticmethod
+    def slots(key: np.ndarray) -> np.ndarray:
+        """Where a pair's key is looked for first."""
+        return (key.view(np.uint64) * SPREAD >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, NONE where they don't merge."""
+        key = left << 32 | right
+        slots = self.slots(key)
+        at = self.one_of[slots]
+        ranks = np.where(self.keys[at] == key, self.ranks[at], NONE)
+        # A slot tells of one pair; where several share one, the others are searched for.
+        others = np.flatnonzero(self.crowded[slots] & (ranks == NONE))
+        at = np.minimum(np.searchsorted(self.keys, key[others]), len(self.keys) - 1)
+        ranks[others] = np.where(self.keys[at] == key[others], self.ranks[at], NONE)
+        return ranks
+
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
         if not NOT_LATIN.search(text):

@@ -1,8 +1,8 @@
 """Token counts by rank-synchronous merging of ragged arrays.
 
 Distinct pre-tokens of a batch are held as one flat array of symbols with their sequence numbers. In
-each round every unfinished sequence looks up the ranks of its neighbouring pairs, and all occurrences
-of its lowest-ranked pair merge at once; what is left when no pair has a rank are its tokens.
+each round all occurrences of the lowest-ranked pair of every unfinished sequence merge at once, and the
+ranks of pairs with a new symbol are looked up; what is left when no pair has a rank are its tokens.
 """
 
 from __future__ import annotations
@@ -15,40 +15,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.pretokens import Cache, Vocabulary, chunks, vocabulary
+from zephyrlake.llm.pretokens import NONE, Cache, Vocabulary, chunks, vocabulary
 
-NONE = np.int64(1) << 40
 
-
-def merged_lengths(words: list[bytes], vocab: Vocabulary) -> np.ndarray:
-    """Number of symbols that survive merging, for each byte string."""
-    out = np.zeros(len(words), np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    symbols = vocab.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-    owner = np.repeat(np.arange(len(words)), sizes)
+def merged_ids(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that survive merging, of one byte string after the other, and their number in each."""
+    text = np.frombuffer(b"".join(words), np.uint8)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    symbols, rank = vocab.byte_ids[text], np.full(len(text), NONE)
+    rank[:-1] = np.where(owner[:-1] == owner[1:], vocab.byte_ranks[text[:-1].astype(np.int64) << 8 | text[1:]], NONE)
+    owners, ends = [owner[:0]], [symbols[:0]]
     while len(symbols):
-        key = symbols[:-1] << 32 | symbols[1:]
-        at = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
-        known = (vocab.keys[at] == key) & (owner[:-1] == owner[1:])
-        rank = np.append(np.where(known, vocab.ranks[at], NONE), NONE)
         starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        lowest = np.minimum.reduceat(rank, starts)
-        counts = np.diff(np.append(starts, len(symbols)))
-        done = lowest == NONE
-        out[owner[starts[done]]] = counts[done]
-        live = np.repeat(~done, counts)
-        merge = (rank == np.repeat(lowest, counts)) & live
-        # Of overlapping occurrences (a a a) every second one counts, from the left.
-        hits = np.flatnonzero(merge)
-        if len(hits):
-            new_run = np.append(True, (np.diff(hits) != 1) | (owner[hits[1:]] != owner[hits[:-1]]))
+        lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(owner))))
+        live = lowest != NONE
+        if not live.all():
+            owners.append(owner[~live])
+            ends.append(symbols[~live])
+        hits = np.flatnonzero((rank == lowest) & live)
+        # Of overlapping occurrences (a a a) every second one counts, from the left; a sequence's last symbol has no rank.
+        if (np.diff(hits) == 1).any():
+            new_run = np.append(True, np.diff(hits) != 1)
             first = np.maximum.accumulate(np.where(new_run, np.arange(len(hits)), 0))
             hits = hits[(np.arange(len(hits)) - first) % 2 == 0]
-            symbols = symbols.copy()
-            symbols[hits] = vocab.made[at[hits]]
-            live[hits + 1] = False
-        symbols, owner = symbols[live], owner[live]
-    return out
+        symbols[hits] = vocab.made[rank[hits]]
+        live[hits + 1] = False
+        at, kept = np.cumsum(live)[hits] - 1, np.flatnonzero(live)
+        symbols, owner, rank = symbols[kept], owner[kept], rank[kept]
+        # Only pairs that hold a new symbol have new ranks.
+        rank[at] = NONE
+        pairs = np.concatenate([at, at[at > 0] - 1])
+        pairs = pairs[pairs < len(symbols) - 1]
+        pairs = pairs[owner[pairs] == owner[pairs + 1]]
+        rank[pairs] = vocab.pair_ranks(symbols[pairs], symbols[pairs + 1])
+    owner = np.concatenate(owners)
+    return np.concatenate(ends)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+
+def merged_lengths(words: list[bytes], vocab: Vocabulary) -> np.ndarray:
+    """Number of symbols that survive merging, for each byte string."""
+    return merged_ids(words, vocab)[1]
 
 
 @lru_cache(maxsize=4)
